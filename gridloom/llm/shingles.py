@@ -52,19 +52,25 @@ class Hasher:
             self.size = n + BLOCK
             self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 1 << 64), self.size)
 
+    def edges(self, data: np.ndarray) -> np.ndarray:
+        """Where words, or the white space that belongs to one, may start."""
+        space = self.space[data]
+        left = np.empty(len(data), bool)
+        left[0], left[1:] = True, space[1:] & ~space[:-1] if self.lead else space[:-1]
+        return left
+
     def spans(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, hashes) of the words of `data` (bytes), none of which crosses `cuts`, the ends of its texts."""
         if not len(data):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         self._room(len(data) + 1)
-        space = self.space[data]
-        left = np.empty(len(data), bool)
-        left[0], left[1:] = True, space[1:] & ~space[:-1] if self.lead else space[:-1]
+        left = self.edges(data)
         left[cuts[cuts < len(data)]] = True
         if self.lead:
             starts = np.flatnonzero(left)
             ends = np.append(starts[1:], len(data))
         else:
+            space = self.space[data]
             starts = np.flatnonzero(~space & left)
             right = np.empty(len(data), bool)
             right[-1], right[:-1] = True, space[1:]
@@ -113,10 +119,12 @@ class Hasher:
         at = 0
         while at < len(text):
             to = min(len(text), at + BLOCK)
-            while to < len(text) and not (self.space[text[to]] and not self.space[text[to - 1]]):
-                near = self.space[text[to : to + 4096]]
-                edge = np.flatnonzero(near[1:] & ~near[:-1])
-                to = to + 1 + int(edge[0]) if len(edge) else min(len(text), to + max(1, len(near) - 1))
+            while to < len(text):
+                edge = np.flatnonzero(self.edges(text[to - 3 : to + 4096])[4:])
+                if len(edge):
+                    to += 1 + int(edge[0])
+                    break
+                to = min(len(text), to + 4093)
             yield text[at:to]
             at = to
 
