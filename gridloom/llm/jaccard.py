@@ -1,17 +1,18 @@
 """Exact Jaccard self-join on word shingles, by prefix filters under several global token orders.
 
-Let t be the threshold and n a set's size. Sets that link share at least ceil(t * n) tokens, for the n of
-either, so under any one order of all tokens they meet in their first n - ceil(t * n) + 1.
-
-Order 1 has two levels. Under the order of the hashes, the first n - ceil(t * n) + l(n) tokens (the extended
-prefix) of sets that link have l(smaller) in common; so only these few tokens are counted over the corpus,
-and among them, under the order (documents that hold it, hash), the first |extended| - l(ceil(t * n)) + 1
-must meet. Rare tokens come first, so tokens of passages that many documents share find hardly a partner.
-Orders 2 and 3 are other permutations of the hashes. A pair whose prefixes don't meet under all of them goes
-before its sets are fetched and compared in full.
-
-Links are needed only up to components. Equal sets are one node; then each token's documents are compared
-with one leader, found components are merged, and only what still lies in two components is paired in full.
+Let t be the threshold, n a set's size and m <= n its partner's. Sets that link share at least ceil(t * n)
+tokens, and at least ceil(2t / (1 + t) * m); so under any one order of all tokens they meet in the larger's first
+n - ceil(t * n) + 1 ("full" prefix) and the smaller's first m - ceil(2t / (1 + t) * m) + 1 ("mid" prefix).
+
+Order 1 has two levels. Under the order of the hashes, both prefixes made longer by l(size) - 1 have l(m) tokens
+in common; so only these few tokens are counted over the corpus, and among them, under the order (documents
+that hold it, hash), the first ones must meet. Rare tokens come first, so tokens of passages that many
+documents share find hardly a partner. Orders 2 and 3 are other permutations of the hashes. A pair whose
+prefixes don't meet under all of them goes before its sets are compared in full.
+
+Links are needed only up to components. Equal sets are one node. As long as tokens join many nodes of different
+components, each token's nodes are compared with one leader, and found components merged; what then still lies
+in two components is paired in full, so no link between two of them is missed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -31,8 +32,9 @@ from .shingles import Hasher, lists, mixed
 SHINGLE_WORDS, PERCENT = 3, 90
 #: Share of a set's tokens by which the extended prefix is longer than the plain one, in percent.
 SLACK_PERCENT = 6
-#: Seeds of orders 2 and 3, and rounds against leaders before the rest is paired in full.
-SEEDS, LEADER_ROUNDS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93), 3
+SEEDS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93)
+#: Nodes are paired in full once that makes no more than so many pairs for each row of the prefixes, or after so many rounds against leaders.
+FULL_RATIO, LEADER_ROUNDS = 2, 16
 
 
 def at_least(n, percent: int):
@@ -49,30 +51,36 @@ def _digest(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
 
 
+def mid_least(n, percent: int):
+    """The overlap that a set of n needs with any partner as large or larger."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
-        sizes, ids, ext, two, three = [], ([], []), [], [], []
+        sizes, ids, ext = [], [], []
         for s in hasher.sets(batch.column("text"), k):
             n = len(s)
-            least = at_least(n, percent)
-            digest = _digest(s)
             sizes.append(n)
-            ids[0].append(digest[0])
-            ids[1].append(digest[1])
-            ext.append(s[: min(n, n - least + extra(n))] if n else s)
-            for out, seed in ((two, SEEDS[0]), (three, SEEDS[1])):
-                p = n - least + 1
-                out.append(s[np.argpartition(mixed(s ^ np.uint64(seed)), p - 1)[:p]] if n else s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), lists(ext), lists(two), lists(three)], ["doc_id", "n", "s1", "s2", "e", "p2", "p3"])
+            ids.append(_digest(s))
+            ext.append(s[: n - at_least(n, percent) + extra(n)] if n else s)
+        two = np.array(ids, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists(ext)], ["doc_id", "n", "s1", "s2", "e"])
 
 
-def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _full(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents of candidate pairs, and their prefixes under orders 2 and 3."""
     hasher = Hasher()
     for batch in batches:
         sets = list(hasher.sets(batch.column("text"), k))
         ids = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "s1", "s2", "s"])
+        first: tuple[list, list] = ([], [])
+        for s in sets:
+            for out, seed in zip(first, SEEDS, strict=True):
+                p = len(s) - at_least(len(s), percent) + 1
+                out.append(s[np.argpartition(mixed(s ^ np.uint64(seed)), p - 1)[:p]] if len(s) else s)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists(first[0]), lists(first[1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "s1", "s2", "p2", "p3", "s"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -90,7 +98,7 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), k, percent
-        schema = "doc_id long, n long, s1 long, s2 long, e array<long>, p2 array<long>, p3 array<long>"
+        schema = "doc_id long, n long, s1 long, s2 long, e array<long>"
         self.sketches = written(self.docs.mapInArrow(lambda b: _sketches(b, k, percent), schema), "sketches")
 
     def nodes(self) -> None:
@@ -106,60 +114,82 @@ class _Join:
         self.node = self.node.dropDuplicates(["doc_id"]) if self.many else self.node
 
     def prefixes(self) -> DataFrame:
-        """(token, doc_id, n) of the prefix under order 1, of nodes that can have a partner at all."""
-        tokens = self.node.select("doc_id", "n", F.size("e").alias("ne"), F.explode("e").alias("token"))
+        """(token, doc_id, n, c, full, mid) of the prefixes under order 1, of nodes that can have a partner at all.
+
+        full, mid: in that prefix. c: how much the node's tokens are shared, by which leaders are chosen.
+        """
+        t = self.percent
+        tokens = self.node.select("doc_id", "n", F.size("e").alias("ne"), F.posexplode("e").alias("pos", "token"))
         held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        shared = tokens.join(held, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("ne").alias("ne"), F.collect_list(F.struct("df", "token")).alias("t"))
-        least = F.ceil(F.col("n") * self.percent / 100).cast("int")
-        first = F.col("ne") - F.floor(least * SLACK_PERCENT / 100).cast("int") - (F.col("ne") - F.size("t"))
-        cut = shared.select("doc_id", "n", F.sort_array("t").alias("t"), first.alias("first")).where("first > 0")
-        return cut.select("doc_id", "n", F.explode(F.slice("t", 1, F.col("first"))).alias("x")).select("x.token", "doc_id", "n")
+        least, mid = F.expr(f"(n * {t} + 99) div 100"), F.expr(f"(2 * {t} * n + {99 + t}) div {100 + t}")
+        slack = lambda n: F.lit(1) + F.floor(n * SLACK_PERCENT / 100)
+        size_mid = F.least(F.col("ne"), F.col("n") - mid + slack(F.col("n")))
+        one = F.struct("df", "token", (F.col("pos") < size_mid).alias("mid"))
+        shared = tokens.join(held, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("ne").alias("ne"), F.sort_array(F.collect_list(one)).alias("t"))
+        shared = shared.withColumn("m", F.filter("t", lambda x: x["mid"])).withColumn("c", F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["df"]) / F.col("n"))
+        full_left = F.size("t") - slack(least) + 1
+        mid_left = size_mid - slack(F.col("n")) + 1 - (size_mid - F.size("m"))
+        edge = F.get("m", F.greatest(mid_left, F.lit(0)) - 1)  # the last of the mid prefix; null if it is empty
+        cut = shared.select("doc_id", "n", "c", "t", full_left.alias("k"), edge.alias("edge"))
+        flagged = F.transform("t", lambda x, i: F.struct(x["token"].alias("token"), (i < F.col("k")).alias("full"), F.coalesce(x["mid"] & (F.struct(x["df"], x["token"]) <= F.struct(F.col("edge.df"), F.col("edge.token"))) & F.col("edge").isNotNull(), F.lit(False)).alias("mid")))
+        rows = cut.select("doc_id", "n", "c", F.explode(F.filter(flagged, lambda x: x["full"] | x["mid"])).alias("x"))
+        return rows.select("x.token", "doc_id", "n", "c", "x.full", "x.mid")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b) that link: prefixes meet under orders 2 and 3, then the sets are compared."""
-        near = self.node.select("doc_id", "p2", "p3")
-        both = pairs.join(near.toDF("a", "a2", "a3"), "a").join(near.toDF("b", "b2", "b3"), "b")
-        met = written(both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "met")
-        who = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         k, percent = self.k, self.percent
-        sets = self.docs.join(who, "doc_id", "left_semi").mapInArrow(lambda x: _full(x, k), "doc_id long, s1 long, s2 long, s binary")
+        who = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = self.docs.join(who, "doc_id", "left_semi").mapInArrow(lambda x: _full(x, k, percent), "doc_id long, s1 long, s2 long, p2 array<long>, p3 array<long>, s binary")
         if self.many:
             sets = sets.join(self.node.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-        sets = sets.select("doc_id", "s")
-        both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        sets = written(sets, "sets")
+        first, whole = sets.select("doc_id", "p2", "p3"), sets.select("doc_id", "s")
+        met = pairs.join(first.toDF("a", "a2", "a3"), "a").join(first.toDF("b", "b2", "b3"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+        both = met.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return written(both.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), "links")
 
+    def may(self, n: Column, full: Column, mid: Column, n2: Column, full2: Column, mid2: Column) -> Column:
+        """Whether a token's two nodes are candidates: sizes fit, the smaller has it in its mid prefix, the larger in its full one."""
+        one = F.when(n <= n2, mid).otherwise(full) & F.when(n2 <= n, mid2).otherwise(full2)
+        return one & (100 * F.least(n, n2) >= self.percent * F.greatest(n, n2))
+
     def run(self) -> DataFrame:
         self.nodes()
         prefix = written(self.prefixes(), "prefixes")
-        links, done = None, None
-        comp = prefix.select("doc_id").distinct().withColumn("root", F.col("doc_id"))
+        size = prefix.count()
+        links = done = merged = None
         for turn in range(LEADER_ROUNDS + 1):
-            own = prefix.join(comp, "doc_id")
-            open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("doc_id", "root", "n"), F.xxhash64(F.col("doc_id"), F.lit(turn))).alias("lead")).where("lo < hi").drop("lo", "hi")
-            fits = lambda x, y: (100 * F.least(x, y) >= self.percent * F.greatest(x, y))
-            if turn < LEADER_ROUNDS:
-                ahead = own.join(open_, "token").where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n")))
-                pairs = ahead.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
+            own = prefix.withColumn("root", F.col("doc_id")) if merged is None else prefix.join(merged, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            held = own.groupBy("token", "root").agg(F.count("*").cast("double").alias("m"), F.max(F.struct(F.col("c") if turn % 2 == 0 else F.xxhash64("token", F.lit(turn), "root").cast("double").alias("c"), "doc_id", "n", "full", "mid", "root")).alias("lead"))
+            open_ = held.groupBy("token").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("lead").alias("lead")).where("roots > 1")
+            work = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0]
+            if not work:
+                break
+            last = work <= FULL_RATIO * size or turn == LEADER_ROUNDS
+            if last:
+                # tokens of one component are gone, so a group of near copies that leaders have joined makes no pairs here
+                rest = own.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "full", "mid", "root")
+                x, y = rest.alias("x"), rest.alias("y")
+                c = lambda t, *names: [F.col(f"{t}.{i}") for i in names]
+                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & self.may(*c("x", "n", "full", "mid"), *c("y", "n", "full", "mid")))
+                pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
             else:
-                own = own.join(open_.select("token"), "token", "left_semi")
-                x, y = own.select("doc_id", "token", "n", "root").alias("x"), own.select("doc_id", "token", "n", "root").alias("y")
-                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+                ahead = own.join(open_.select("token", "lead"), "token").where((F.col("root") != F.col("lead.root")) & self.may(F.col("n"), F.col("full"), F.col("mid"), F.col("lead.n"), F.col("lead.full"), F.col("lead.mid")))
+                pairs = ahead.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
             pairs = pairs.distinct()
-            pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
-            if pairs.isEmpty():
-                if turn < LEADER_ROUNDS:
-                    continue
+            pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                found = self.linked(pairs)
+                done = pairs if done is None else done.unionByName(pairs)
+                if not found.isEmpty():
+                    links = found if links is None else links.unionByName(found)
+                    merged = written(components(links), "roots")
+            if last:
                 break
-            found = self.linked(pairs)
-            done = pairs if done is None else done.unionByName(pairs)
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.unionByName(found)
-            merged = components(links)
-            comp = prefix.select("doc_id").distinct().join(merged, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-        roots = self.member if links is None else self.member.join(merged.select(F.col("doc_id").alias("node"), "root"), "node", "left")
-        return roots.select("doc_id", (F.col("node") if links is None else F.coalesce("root", "node")).alias("component_id"))
+        if merged is None:
+            return self.member.select("doc_id", F.col("node").alias("component_id"))
+        roots = self.member.join(merged.select(F.col("doc_id").alias("node"), "root"), "node", "left")
+        return roots.select("doc_id", F.coalesce("root", "node").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -11,18 +11,34 @@ from pyspark.sql import functions as F
 from .common import table
 from .jaccard import jaccard_components
 from .lines import dedup_lines
+from .nbest import encode_nbest
 from .packing import pack
 from .quality import judged
+from .sketch import edited_fingerprints
+from .tokencount import token_counts
+from .tokenfiles import token_files
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *[F.col("stat")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
@@ -32,13 +48,28 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op5_best_fit_packing, op8_quality_rules, op9_ngram_jaccard_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        op1_line_dedup,
+        op2_token_counts,
+        op5_best_fit_packing,
+        op6_document_fingerprints,
+        op7_token_files,
+        op8_quality_rules,
+        op9_ngram_jaccard_join,
+        op10_sentencepiece_nbest,
+        pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": """
