@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .nbest import encode_nbest
 from .packing import pack
+from .pages import extract_pages
 from .quality import judged
 from .sketch import edited_fingerprints
 from .tokencount import token_counts
@@ -27,6 +29,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_line_dedup,
         op2_token_counts,
+        op3_license_scans,
+        op4_html_extraction,
         op5_best_fit_packing,
         op6_document_fingerprints,
         op7_token_files,
