@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import let, lower_ascii, strip, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: The lines of a key are spread over so many tasks where they meet its row, which is repeated as often.
+SALTS = 16
 
 
 def line_places(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
@@ -38,7 +40,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
     """
     d = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     lines = written(line_places(d, text, min_chars), "lines")
-    hit = lines.join(frequent_lines(lines, min_docs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)))
+    often = frequent_lines(lines, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    hit = salted.join(often, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = hit.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t"))
     out = d.join(drops, on, "left")
