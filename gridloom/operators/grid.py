@@ -127,6 +127,22 @@ def nearest_cell(rows: DataFrame, cells: DataFrame, radius: int, key: str = "id"
     return rows.join(best.select(F.col("_k").alias(key), "m.nx", "m.ny"), key, "left")
 
 
+def nearest_of(rows: DataFrame, others: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
+    """(a: row, b: the nearest of `others`, d) of every row: cells and reach double until each row has one. Ties: the smaller key of b."""
+    found, left, scale = None, rows, 1
+    while not left.isEmpty() and not others.isEmpty():
+        wide = Grid(grid.lat0, grid.lon0, grid.dlat * scale, grid.dlon * scale, grid.metres * scale)
+        near = near_join(left, others, wide, wide.metres)
+        best = near.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", f"b.{key}")).alias("m")).select("a", "m.b", "m.d")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(F.col(f"a.{key}").alias(key)), key, "left_anti")
+        scale *= 4
+    if found is None:
+        d = near_join(rows, others, grid, grid.metres)
+        return d.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", f"b.{key}")).alias("m")).select("a", "m.b", "m.d")
+    return found
+
+
 def locate(rows: DataFrame, areas: DataFrame) -> DataFrame:
     """rows (lat, lon) with `area`, the lowest of `areas` (area, ring) that holds the point, -1 if none does.
 

@@ -83,9 +83,9 @@ def j08_cross_distance(v):
 
 
 def _nearest_sql(left: str, right: str, radius: int) -> str:
-    return f"""SELECT id, nx, ny FROM (SELECT a.id, b.x AS nx, b.y AS ny, row_number() OVER (PARTITION BY a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.x - a.x, b.y - a.y) AS k
-FROM (SELECT id, {sql_x(C2)} AS x, {sql_y(C2)} AS y FROM {left}) a LEFT JOIN (SELECT DISTINCT {sql_x(C2)} AS x, {sql_y(C2)} AS y FROM {right}) b
-ON b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius} AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= {radius * radius}) WHERE k = 1"""
+    return f"""SELECT i.id, m.nx, m.ny FROM {left} i LEFT JOIN (SELECT id, nx, ny FROM (SELECT a.id, b.x AS nx, b.y AS ny, row_number() OVER (PARTITION BY a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.x - a.x, b.y - a.y) AS k
+FROM (SELECT id, {sql_x(C2)} AS x, {sql_y(C2)} AS y FROM {left}) a JOIN (SELECT DISTINCT {sql_x(C2)} AS x, {sql_y(C2)} AS y FROM {right}) b
+ON b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius} AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= {radius * radius}) WHERE k = 1) m ON i.id = m.id"""
 
 
 @query(_nearest_sql("v_pole", "v_true", 20))
@@ -168,11 +168,8 @@ def j21_edge_coords(v):
 SELECT id, near FROM (SELECT a.id, b.area AS near, row_number() OVER (PARTITION BY a.id ORDER BY {sql_distance()}, b.id) AS k FROM l a, l b WHERE a.area = -1 AND b.area >= 0) WHERE k = 1""")
 def j23_nearest_tract(v):
     placed = g.locate(v.v_ins, v.areas())
-    inside = placed.where("area >= 0").select(F.struct("id", "area", "lat", "lon").alias("b"))
-    # outside points search growing rings of cells in the engine's flow; here both sides are suppliers
-    d = geo.distance(F.col("lat"), F.col("lon"), F.col("b.lat"), F.col("b.lon"))
-    both = placed.where("area < 0").join(inside, F.lit(True))
-    return both.groupBy("id").agg(F.min_by("b.area", F.struct(d, F.col("b.id"))).alias("near"))
+    near = g.nearest_of(placed.where("area < 0"), placed.where("area >= 0"), C110)
+    return near.select(F.col("a.id").alias("id"), F.col("b.area").alias("near"))
 
 
 @query(f"""WITH l AS (SELECT p.id, coalesce(min(t.area), -1) AS area FROM v_pole p LEFT JOIN v_area t ON {_IN} GROUP BY p.id)
