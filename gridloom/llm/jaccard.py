@@ -35,6 +35,8 @@ SLACK_PERCENT = 6
 SEEDS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93)
 #: Nodes are paired in full once that makes no more than so many pairs for each row of the prefixes, or after so many rounds against leaders.
 FULL_RATIO, LEADER_ROUNDS = 2, 16
+#: Leaders are given up as well when less than this share of a round's pairs links.
+FRUITFUL_PERCENT = 5
 
 
 def at_least(n, percent: int):
@@ -158,14 +160,15 @@ class _Join:
         prefix = written(self.prefixes(), "prefixes")
         size = prefix.count()
         links = done = merged = None
+        fruitful = True
         for turn in range(LEADER_ROUNDS + 1):
             own = prefix.withColumn("root", F.col("doc_id")) if merged is None else prefix.join(merged, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            held = own.groupBy("token", "root").agg(F.count("*").cast("double").alias("m"), F.max(F.struct(F.col("c") if turn % 2 == 0 else F.xxhash64("token", F.lit(turn), "root").cast("double").alias("c"), "doc_id", "n", "full", "mid", "root")).alias("lead"))
-            open_ = held.groupBy("token").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("lead").alias("lead")).where("roots > 1")
-            work = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0]
+            held = own.groupBy("token", "root").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("mid").cast("double")).alias("s"), F.max(F.struct(F.col("c") if turn % 2 == 0 else F.xxhash64("token", F.lit(turn), "root").cast("double").alias("c"), "doc_id", "n", "full", "mid", "root")).alias("lead"))
+            open_ = held.groupBy("token").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("ms"), F.max("lead").alias("lead")).where("roots > 1 and s > 0")
+            work = open_.agg(F.sum(F.col("m") * F.col("s") - F.col("ms"))).first()[0]
             if not work:
                 break
-            last = work <= FULL_RATIO * size or turn == LEADER_ROUNDS
+            last = work <= FULL_RATIO * size or turn == LEADER_ROUNDS or not fruitful
             if last:
                 # tokens of one component are gone, so a group of near copies that leaders have joined makes no pairs here
                 rest = own.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "full", "mid", "root")
@@ -178,10 +181,14 @@ class _Join:
                 pairs = ahead.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
             pairs = pairs.distinct()
             pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
+            tried = pairs.count()
+            fruitful = False
+            if tried:
                 found = self.linked(pairs)
                 done = pairs if done is None else done.unionByName(pairs)
-                if not found.isEmpty():
+                hits = found.count()
+                fruitful = 100 * hits >= FRUITFUL_PERCENT * tried
+                if hits:
                     links = found if links is None else links.unionByName(found)
                     merged = written(components(links), "roots")
             if last:
