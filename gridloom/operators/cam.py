@@ -101,7 +101,7 @@ def merged_directions(lines: Column, within: float = 20.0, compat: bool = False)
             mine = F.when(direct, line["angle"]).when(line["angle"] < 0, line["angle"] + 180).otherwise(line["angle"])
             theirs = F.when(direct, h["angle"]).when(line["angle"] < 0, h["angle"]).otherwise(h["angle"] + 180)
             total = h["strength"] + line["strength"]
-            mean = (theirs * h["strength"] + mine * line["strength"]) / total
+            mean = F.coalesce(F.try_divide(theirs * h["strength"] + mine * line["strength"], total), (theirs + mine) / 2)  # without strength: the middle
             mean = F.when((~direct) & (mean > 90), mean - (90 if compat else 180)).otherwise(mean)
             return F.struct((h["cnt"] + 1).alias("cnt"), mean.alias("angle"), total.alias("strength"))
 

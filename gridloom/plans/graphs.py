@@ -1 +1,180 @@
-"""Queries."""
+"""Queries on graphs and on steps whose order decides."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import cam, graph, linear
+from ..operators import grid as g
+from . import views
+from .joins import _near_sql, rays
+from .registry import query, r6
+
+C2, C40, C110 = views.CELLS_2, views.CELLS_40, views.CELLS_110
+
+
+def links(v, within: float = 45.0):
+    return g.near_join(v.v_pole, v.v_pole, C110, within).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "d")
+
+
+def by_root(edges):
+    """edges with the component they are in: what a kernel takes as one group."""
+    return edges.join(graph.components(edges).toDF("a", "root"), "a")
+
+
+@query()
+def x01_hough_lines(v):
+    return cam.hough_lines(v.embeddings.where("vec_id < 100"), "vec_id", "embedding", 8, 300.0, 20)
+
+
+@query()
+def g01_merge_directions(v):
+    lines = v.v_line.groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "angle", "strength"))).alias("l"))
+    m = cam.merged_directions(F.transform("l", lambda x: F.struct(x["angle"].alias("angle"), x["strength"].alias("strength"))))
+    return lines.select("sv_id", F.posexplode(m).alias("seq", "m")).select("sv_id", "seq", "m.cnt", r6("m.angle").alias("angle"), r6("m.strength").alias("strength"))
+
+
+@query()
+def g03_cluster(v):
+    c = graph.clustered(rays(v), C110)
+    return c.groupBy("g", "cluster").agg(r6(F.avg("lat"), "lat"), r6(F.avg("lon"), "lon"), F.count("*").alias("n"))
+
+
+@query()
+def g04_match(v):
+    return graph.matched(v.v_true, v.v_pole, C110).select("a", "b", F.round("d", 4).alias("d"))
+
+
+def _merge_ways(f: pd.DataFrame) -> pd.DataFrame:
+    f = f.sort_values(["way", "nid"])
+    ways = {w: list(x) for w, x in f.groupby("way").node}
+    ends: dict = {}
+    for w, nodes in ways.items():
+        for n in {nodes[0], nodes[-1]}:
+            ends.setdefault(n, set()).add(w)
+    seen = f.node.value_counts()
+    out = graph.merged_chains(ways, {n: s for n, s in ends.items() if len(s) == 2 and seen[n] == 2})
+    return pd.DataFrame([(w, len(x), int(x[0]), int(x[-1])) for w, x in out.items()], columns=["way", "vertices", "first", "last"])
+
+
+@query()
+def g05_chain_merge(v):
+    w = v.v_way.select("way", "nid", "node")
+    ends = w.groupBy("way").agg(F.min_by("node", "nid").alias("s"), F.max_by("node", "nid").alias("t"))
+    twice = w.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
+    end = ends.select("way", F.explode(F.array("s", "t")).alias("node")).distinct().join(twice, "node")
+    p, q = end.alias("p"), end.alias("q")
+    edges = p.join(q, (F.col("p.node") == F.col("q.node")) & (F.col("p.way") < F.col("q.way"))).select(F.col("p.way").alias("a"), F.col("q.way").alias("b"))
+    root = graph.components(edges).toDF("way", "root")
+    return w.join(root, "way", "left").withColumn("root", F.coalesce("root", "way")).groupBy("root").applyInPandas(_merge_ways, "way long, vertices int, first long, last long")
+
+
+def _snap(f: pd.DataFrame) -> pd.DataFrame:
+    nodes = [(int(k), x) for k, x in f[f.kind == 0].sort_values(["length", "id"])[["id", "length"]].itertuples(index=False)]
+    poles = [(int(k), x) for k, x in f[f.kind == 1].sort_values(["length", "id"])[["id", "length"]].itertuples(index=False)]
+    return pd.DataFrame([(int(f.way.iloc[0]), a, b) for a, b in graph.snapped(nodes, poles)], columns=["way", "node", "pole"])
+
+
+@query()
+def w07_snap(v):
+    from .joins import marks
+
+    m = marks(v).where("kind < 2").select("way", F.col("kind").cast("int").alias("kind"), "id", "length")
+    return m.groupBy("way").applyInPandas(_snap, "way long, node long, pole long")
+
+
+def _search(f: pd.DataFrame) -> pd.DataFrame:
+    w = {(int(x), int(y)): c for x, y, c in f[f.kind == 0][["x", "y", "w"]].itertuples(index=False)}
+    spots = lambda k: [(int(x), int(y)) for x, y in f[f.kind == k].sort_values(["x", "y"])[["x", "y"]].itertuples(index=False)]
+    box = (int(f.x.min()), int(f.y.min()), int(f.x.max()), int(f.y.max()))
+    _, edges = graph.many_to_many(spots(1), spots(2), w, box)
+    return pd.DataFrame([(int(f.region.iloc[0]), *t, *o) for t, o in edges], columns=["region", "tx", "ty", "ox", "oy"])
+
+
+def search_cells(v):
+    """(region, kind 0 road cell / 1 origin / 2 target, x, y, w): regions are quarters of the views' square."""
+    from .aggregates import WEIGHTS
+
+    w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("tag")), F.lit(1.0))
+    region = (F.col("x") > 65).cast("int") * 2 + (F.col("y") > 65).cast("int")
+    roads = g.points(v.v_way, C40).groupBy("x", "y").agg(F.min(w).alias("w")).select(F.lit(0).alias("kind"), "x", "y", "w")
+    poles = g.points(v.v_pole, C40).select("x", "y").distinct().select(F.lit(2).alias("kind"), "x", "y", F.lit(0.0).alias("w"))
+    cells = roads.unionByName(poles).withColumn("region", region)
+    first = poles.withColumn("region", region).groupBy("region").agg(F.min(F.struct("x", "y")).alias("o")).select(F.lit(1).alias("kind"), "o.x", "o.y", F.lit(0.0).alias("w"), "region")
+    return cells.unionByName(first)
+
+
+@query()
+def g09_many_to_many(v):
+    return search_cells(v).groupBy("region").applyInPandas(_search, "region int, tx int, ty int, ox int, oy int")
+
+
+@query(f"WITH e AS (SELECT a, b FROM ({_near_sql('v_pole', 'v_pole', 45.0, 'a.id < b.id')})) SELECT id, count(*) AS degree FROM (SELECT a AS id, b AS o FROM e UNION SELECT b, a FROM e) GROUP BY id")
+def g12_degree(v):
+    return graph.neighbours(links(v)).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+
+
+def _chains(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([(p[0], p[-1], p) for p in graph.chains(zip(f.a, f.b, strict=True))], columns=["first", "last", "path"])
+
+
+@query()
+def g13_chains(v):
+    return by_root(links(v)).groupBy("root").applyInPandas(_chains, "first long, last long, path array<long>")
+
+
+@query("SELECT l_orderkey AS way, i::INT AS i, j::INT AS j, list_aggregate(list_slice(nodes, i, j), 'sum')::BIGINT AS total FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nodes FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1), LATERAL (SELECT unnest(range(1, len(nodes))) AS i), LATERAL (SELECT unnest(range(i + 1, len(nodes) + 1)) AS j)")
+def g14_subpaths(v):
+    n = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))), lambda x: x["l_partkey"])
+    p = v.lineitem.where("l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("way")).agg(n.alias("p")).where(F.size("p") > 1)
+    p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 1))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("p"))))
+    total = F.aggregate(F.slice("p", F.col("i"), F.col("j") - F.col("i") + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return p.select("way", "i", "j", total.alias("total"))
+
+
+def _pardon(f: pd.DataFrame) -> pd.DataFrame:
+    edges = lambda k: {(int(a), int(b)) for a, b in f[f.kind == k][["a", "b"]].itertuples(index=False)}
+    fp, fn = edges("fp"), edges("fn")
+    gone, found, left = graph.pardon(fp, fn, {k: k for e in fp for k in e if k % 5})
+    return pd.DataFrame([(int(f.root.iloc[0]), len(fp), len(fn), len(gone), len(found), len(left))], columns=["root", "fp", "fn", "pardoned", "regained", "missed"])
+
+
+@query()
+def g15_pardon(v):
+    e = links(v, 60.0)
+    kind = F.when((F.col("a") + F.col("b")) % 2 == 0, "fp").otherwise("fn")
+    return by_root(e).withColumn("kind", kind).groupBy("root").applyInPandas(_pardon, "root long, fp int, fn int, pardoned int, regained int, missed int")
+
+
+def _tree(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([(a, b, w) for w, a, b in graph.spanning_tree(zip(f.d, f.a, f.b, strict=True))], columns=["a", "b", "d"])
+
+
+@query()
+def g16_mst(v):
+    return by_root(links(v, 60.0)).groupBy("root").applyInPandas(_tree, "a long, b long, d double").select("a", "b", F.round("d", 4).alias("d"))
+
+
+@query()
+def a14_pole_metrics(v):
+    """Truth is matched with detected poles first, what is left with inserted ones."""
+    det = graph.matched(v.v_true, v.v_pole, C110)
+    rest = v.v_true.join(det.select(F.col("a").alias("id")), "id", "left_anti")
+    ins = graph.matched(rest, v.v_ins, C110)
+    n = lambda d, name: d.agg(F.count("*").cast("double").alias(name))
+    out = n(v.v_true, "truth")
+    for d, name in ((v.v_pole, "detected"), (v.v_ins, "inserted"), (det, "m1"), (ins, "m2")):
+        out = out.join(n(d, name), F.lit(True))  # one row each
+    hit = F.col("m1") + F.col("m2")
+    return out.select("truth", "detected", "inserted", r6(F.coalesce(F.try_divide(hit, F.col("truth")), F.lit(1.0)), "recall"), r6(F.try_divide(hit, F.col("detected") + F.col("inserted")), "precision"))
+
+
+@query()
+def g08_new_vertex(v):
+    """A vertex put into each way after its first: later places shift by one."""
+    w = v.v_way.select("way", "nid", "lat", "lon")
+    s = linear.measured(g.segments(w)).where("lid = 0")
+    new = s.select("way", F.lit(1).alias("nid"), ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"))
+    moved = w.withColumn("nid", F.col("nid") + (F.col("nid") > 0).cast("int"))
+    return moved.unionByName(new).select("way", "nid", r6("lat").alias("lat"), r6("lon").alias("lon"))
