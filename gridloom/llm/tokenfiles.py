@@ -22,6 +22,8 @@ from .encode import encoder
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
+#: Sizes are looked at after a few rows, as one row can be a long document.
+CHECKS = {"parquet.block.size.row.check.min": "8", "parquet.block.size.row.check.max": "1000", "parquet.page.size.row.check.min": "8"}
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -55,7 +57,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, kind: str, end_id: int
     ranged = d.repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc(), F.xxhash64("text"))
     out = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(lambda b: _encoded(b, path, kind, end_id), SCHEMA)
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "start_in_part", "n_tokens")}
-    out.write.options(**{"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": "true"}, **plain).parquet(folder)
+    out.write.options(**{"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": "true", **CHECKS}, **plain).parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
