@@ -73,21 +73,20 @@ def line_cells(lines: DataFrame, grid: Grid, *keep: str) -> DataFrame:
     x1, y1, x2, y2 = grid.x(F.col("lon1")), grid.y(F.col("lat1")), grid.x(F.col("lon2")), grid.y(F.col("lat2"))
     base = lines.select(*keep, "lat1", "lon1", "lat2", "lon2", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
-    def crossed(a: str, b: str) -> Column:
+    def crossed(a: str, b: str, kind: int) -> Column:
         lo, hi = F.least(a, b), F.greatest(a, b)
-        return F.when(lo < hi, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<int>"))
-
-    lon = lambda c: F.lit(grid.lon0) + c * F.lit(grid.dlon)
-    lat = lambda c: F.lit(grid.lat0) + c * F.lit(grid.dlat)
-    along_y = lambda c: grid.y(F.col("lat1") + (F.col("lat2") - F.col("lat1")) * (lon(c) - F.col("lon1")) / (F.col("lon2") - F.col("lon1")))
-    along_x = lambda c: grid.x(F.col("lon1") + (F.col("lon2") - F.col("lon1")) * (lat(c) - F.col("lat1")) / (F.col("lat2") - F.col("lat1")))
-    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    right = F.transform(crossed("x1", "x2"), lambda c: F.struct(c.alias("x"), along_y(c).alias("y")))
-    left = F.transform(crossed("x1", "x2"), lambda c: F.struct((c - 1).alias("x"), along_y(c).alias("y")))
-    above = F.transform(crossed("y1", "y2"), lambda c: F.struct(along_x(c).alias("x"), c.alias("y")))
-    below = F.transform(crossed("y1", "y2"), lambda c: F.struct(along_x(c).alias("x"), (c - 1).alias("y")))
-    cells = F.array_distinct(F.concat(ends, right, left, above, below))
-    return base.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.x", "c.y").distinct()
+        return F.when(lo < hi, F.transform(F.sequence(lo + 1, hi), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("c")))).otherwise(F.array().cast("array<struct<kind:int,c:int>>"))
+
+    ends = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("c")))
+    each = base.withColumn("g", F.explode(F.concat(ends, crossed("x1", "x2", 1), crossed("y1", "y2", 2))))
+    kind, c = F.col("g.kind"), F.col("g.c")
+    lon, lat = F.lit(grid.lon0) + c * F.lit(grid.dlon), F.lit(grid.lat0) + c * F.lit(grid.dlat)
+    y = grid.y(F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.try_divide(lon - F.col("lon1"), F.col("lon2") - F.col("lon1")))
+    x = grid.x(F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.try_divide(lat - F.col("lat1"), F.col("lat2") - F.col("lat1")))
+    cell = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    two = F.when(kind == 0, F.array(cell(F.col("x1"), F.col("y1")), cell(F.col("x2"), F.col("y2"))))
+    two = two.when(kind == 1, F.array(cell(c, y), cell(c - 1, y))).otherwise(F.array(cell(x, c), cell(x, c - 1)))
+    return each.select(*keep, F.explode(two).alias("_c")).select(*keep, "_c.x", "_c.y").distinct()
 
 
 def disk(radius: int) -> list[tuple[int, int, int]]:
