@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        old, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

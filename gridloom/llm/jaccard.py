@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .components import components
 from .shingles import Hasher, lists, mixed
 
@@ -148,7 +148,9 @@ class _Join:
         first, whole = sets.select("doc_id", "p2", "p3"), sets.select("doc_id", "s")
         met = pairs.join(first.toDF("a", "a2", "a3"), "a").join(first.toDF("b", "b2", "b3"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
         both = met.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return written(both.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), "links")
+        out = written(both.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), "links")
+        forget(sets)
+        return out
 
     def may(self, n: Column, full: Column, mid: Column, n2: Column, full2: Column, mid2: Column) -> Column:
         """Whether a token's two nodes are candidates: sizes fit, the smaller has it in its mid prefix, the larger in its full one."""
@@ -193,6 +195,7 @@ class _Join:
                     merged = written(components(links), "roots")
             if last:
                 break
+        forget(prefix)
         if merged is None:
             return self.member.select("doc_id", F.col("node").alias("component_id"))
         roots = self.member.join(merged.select(F.col("doc_id").alias("node"), "root"), "node", "left")
