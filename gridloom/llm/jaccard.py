@@ -8,7 +8,9 @@ Order 1 has two levels. Under the order of the hashes, both prefixes made longer
 in common; so only these few tokens are counted over the corpus, and among them, under the order (documents
 that hold it, hash), the first ones must meet. Rare tokens come first, so tokens of passages that many
 documents share find hardly a partner. Orders 2 and 3 are other permutations of the hashes. A pair whose
-prefixes don't meet under all of them goes before its sets are compared in full.
+prefixes don't meet under all of them goes before its sets are compared in full. So does one whose bitmaps differ too much: bit i of a set's bitmap is the
+parity of its tokens that hash to i, so no fewer tokens than bits can differ. That test is part of the joins'
+conditions, for sets that share nearly all tokens but too few.
 
 Links are needed only up to components. Equal sets are one node. As long as tokens join many nodes of different
 components, each token's nodes are compared with one leader, and found components merged; what then still lies
@@ -37,6 +39,9 @@ SEEDS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93)
 FULL_RATIO, LEADER_ROUNDS = 2, 16
 #: Leaders are given up as well when less than this share of a round's pairs links.
 FRUITFUL_PERCENT = 5
+#: 64-bit words of a bitmap.
+BITMAP_WORDS = 8
+BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 
 
 def at_least(n, percent: int):
@@ -58,17 +63,24 @@ def mid_least(n, percent: int):
     return -(-2 * percent * n // (100 + percent))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    at = (s >> np.uint64(7)).astype(np.int64) & (64 * BITMAP_WORDS - 1)
+    odd = np.bincount(at, minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
-        sizes, ids, ext = [], [], []
+        sizes, ids, ext, bits = [], [], [], []
         for s in hasher.sets(batch.column("text"), k):
             n = len(s)
             sizes.append(n)
             ids.append(_digest(s))
+            bits.append(_bitmap(s))
             ext.append(s[: n - at_least(n, percent) + extra(n)] if n else s)
         two = np.array(ids, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists(ext)], ["doc_id", "n", "s1", "s2", "e"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists(ext), *[pa.array(x) for x in np.array(bits, np.int64).reshape(-1, BITMAP_WORDS).T.copy()]], ["doc_id", "n", "s1", "s2", "e", *BITS])
 
 
 def _full(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -100,7 +112,7 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), k, percent
-        schema = "doc_id long, n long, s1 long, s2 long, e array<long>"
+        schema = "doc_id long, n long, s1 long, s2 long, e array<long>, " + ", ".join(f"{b} long" for b in BITS)
         self.sketches = written(self.docs.mapInArrow(lambda b: _sketches(b, k, percent), schema), "sketches")
 
     def nodes(self) -> None:
@@ -157,15 +169,22 @@ class _Join:
         one = F.when(n <= n2, mid).otherwise(full) & F.when(n2 <= n, mid2).otherwise(full2)
         return one & (100 * F.least(n, n2) >= self.percent * F.greatest(n, n2))
 
+    def alike(self, x: str, y: str) -> Column:
+        """Whether the bitmaps of two rows allow the overlap that a link of their sizes needs."""
+        n = F.col(f"{x}.n") + F.col(f"{y}.n")
+        least = F.ceil(n * self.percent / (100 + self.percent) - F.lit(1e-9))
+        apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
+        return apart <= n - 2 * least
+
     def run(self) -> DataFrame:
         self.nodes()
-        prefix = written(self.prefixes(), "prefixes")
+        prefix = written(self.prefixes().join(self.node.select("doc_id", *BITS), "doc_id"), "prefixes")
         size = prefix.count()
         links = done = merged = None
         fruitful = True
         for turn in range(LEADER_ROUNDS + 1):
             own = prefix.withColumn("root", F.col("doc_id")) if merged is None else prefix.join(merged, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            held = own.groupBy("token", "root").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("mid").cast("double")).alias("s"), F.max(F.struct(F.col("c") if turn % 2 == 0 else F.xxhash64("token", F.lit(turn), "root").cast("double").alias("c"), "doc_id", "n", "full", "mid", "root")).alias("lead"))
+            held = own.groupBy("token", "root").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("mid").cast("double")).alias("s"), F.max(F.struct(F.col("c") if turn % 2 == 0 else F.xxhash64("token", F.lit(turn), "root").cast("double").alias("c"), "doc_id", "n", "full", "mid", "root", *BITS)).alias("lead"))
             open_ = held.groupBy("token").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("ms"), F.max("lead").alias("lead")).where("roots > 1 and s > 0")
             work = open_.agg(F.sum(F.col("m") * F.col("s") - F.col("ms"))).first()[0]
             if not work:
@@ -173,14 +192,14 @@ class _Join:
             last = work <= FULL_RATIO * size or turn == LEADER_ROUNDS or not fruitful
             if last:
                 # tokens of one component are gone, so a group of near copies that leaders have joined makes no pairs here
-                rest = own.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "full", "mid", "root")
+                rest = own.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "full", "mid", "root", *BITS)
                 x, y = rest.alias("x"), rest.alias("y")
                 c = lambda t, *names: [F.col(f"{t}.{i}") for i in names]
-                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & self.may(*c("x", "n", "full", "mid"), *c("y", "n", "full", "mid")))
+                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & self.may(*c("x", "n", "full", "mid"), *c("y", "n", "full", "mid")) & self.alike("x", "y"))
                 pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
             else:
-                ahead = own.join(open_.select("token", "lead"), "token").where((F.col("root") != F.col("lead.root")) & self.may(F.col("n"), F.col("full"), F.col("mid"), F.col("lead.n"), F.col("lead.full"), F.col("lead.mid")))
-                pairs = ahead.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
+                ahead = own.alias("x").join(open_.select("token", "lead"), "token").where((F.col("root") != F.col("lead.root")) & self.may(F.col("n"), F.col("full"), F.col("mid"), F.col("lead.n"), F.col("lead.full"), F.col("lead.mid")) & self.alike("x", "lead"))
+                pairs = ahead.select(F.least("x.doc_id", "lead.doc_id").alias("a"), F.greatest("x.doc_id", "lead.doc_id").alias("b"))
             pairs = pairs.distinct()
             pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
             tried = pairs.count()
