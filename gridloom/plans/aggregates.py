@@ -54,18 +54,29 @@ _VOTES = """SELECT vec_id, round(round(x * cos(radians(t::DOUBLE)) + y * sin(rad
 FROM v_cam, (SELECT unnest(range(-90, 91)) AS t) WHERE v * 300 > 10 AND vec_id < 100 GROUP BY 1, 2, 3"""
 
 
-def _votes(v):
-    return cam.hough_votes(cam.pixels(v.embeddings.where("vec_id < 100"), "vec_id", "embedding", 8), "vec_id", 300.0)
+def _votes(cams):
+    return cam.hough_votes(cam.pixels(cams, "vec_id", "embedding", 8), "vec_id", 300.0)
 
 
 @query(_VOTES)
 def a06_hough_votes(v):
-    return _votes(v)
+    return _votes(v.embeddings.where("vec_id < 100"))
+
+
+@query()
+def a06_hough_votes_all(v):
+    """a06 on all images; its SQL names the first hundred."""
+    return _votes(v.embeddings)
 
 
 @query(f"SELECT vec_id, rho, theta, votes FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, rho, theta) AS k FROM ({_VOTES})) WHERE k = 1")
 def a07_hough_peak(v):
-    return cam.peaks(_votes(v), "vec_id")
+    return cam.peaks(_votes(v.embeddings.where("vec_id < 100")), "vec_id")
+
+
+@query()
+def a07_hough_peak_all(v):
+    return cam.peaks(_votes(v.embeddings), "vec_id")
 
 
 @query("SELECT sv_id, round(coalesce(sum(angle * strength) / nullif(sum(strength), 0), -180), 6) AS angle FROM v_line GROUP BY sv_id")

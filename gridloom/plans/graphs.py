@@ -25,7 +25,7 @@ def by_root(edges):
 
 @query()
 def x01_hough_lines(v):
-    return cam.hough_lines(v.embeddings.where("vec_id < 100"), "vec_id", "embedding", 8, 300.0, 20)
+    return cam.hough_lines(v.embeddings, "vec_id", "embedding", 8, 300.0, 20)
 
 
 @query()
