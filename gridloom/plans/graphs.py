@@ -126,8 +126,18 @@ def g13_chains(v):
 
 @query("SELECT l_orderkey AS way, i::INT AS i, j::INT AS j, list_aggregate(list_slice(nodes, i, j), 'sum')::BIGINT AS total FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nodes FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1), LATERAL (SELECT unnest(range(1, len(nodes))) AS i), LATERAL (SELECT unnest(range(i + 1, len(nodes) + 1)) AS j)")
 def g14_subpaths(v):
+    return _subpaths(v.lineitem.where("l_orderkey % 20 = 0"))
+
+
+@query()
+def g14_subpaths_all(v):
+    """g14 on all roads; its SQL names each twentieth."""
+    return _subpaths(v.lineitem)
+
+
+def _subpaths(lines):
     n = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))), lambda x: x["l_partkey"])
-    p = v.lineitem.where("l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("way")).agg(n.alias("p")).where(F.size("p") > 1)
+    p = lines.groupBy(F.col("l_orderkey").alias("way")).agg(n.alias("p")).where(F.size("p") > 1)
     p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 1))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("p"))))
     total = F.aggregate(F.slice("p", F.col("i"), F.col("j") - F.col("i") + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return p.select("way", "i", "j", total.alias("total"))

@@ -122,7 +122,17 @@ _ON_WAY = "SELECT DISTINCT l_orderkey AS way, l_partkey AS id FROM lineitem WHER
 
 @query(f"SELECT a.id AS a, b.id AS b, min(a.way) AS way FROM ({_ON_WAY}) a JOIN ({_ON_WAY}) b ON a.way = b.way AND a.id < b.id GROUP BY a.id, b.id")
 def j18_same_road(v):
-    on = v.lineitem.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("id")).distinct()
+    return _same_road(v.lineitem.where("l_orderkey % 10 = 0"))
+
+
+@query()
+def j18_same_road_all(v):
+    """j18 on all roads; its SQL names each tenth."""
+    return _same_road(v.lineitem)
+
+
+def _same_road(lines):
+    on = lines.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("id")).distinct()
     a, b = on.alias("a"), on.alias("b")
     return a.join(b, (F.col("a.way") == F.col("b.way")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.min("a.way").alias("way"))
 

@@ -19,7 +19,7 @@ def test_hough_lines_of_all_images(spark):
     assert sorted(got) == sorted(want) and max(r[0] for r in got) >= 100
 
 
-@pytest.mark.parametrize(("name", "of", "cut"), [("a06_hough_votes_all", "a06_hough_votes", " AND vec_id < 100"), ("a07_hough_peak_all", "a07_hough_peak", " AND vec_id < 100")])
+@pytest.mark.parametrize(("name", "of", "cut"), [("a06_hough_votes_all", "a06_hough_votes", " AND vec_id < 100"), ("a07_hough_peak_all", "a07_hough_peak", " AND vec_id < 100"), ("j18_same_road_all", "j18_same_road", " WHERE l_orderkey % 10 = 0"), ("g14_subpaths_all", "g14_subpaths", " WHERE l_orderkey % 20 = 0")])
 def test_without_cut(spark, name, of, cut):
     df = QUERIES[name](spark, FOLDER)
     assert cut in ORACLES[of]
