@@ -196,9 +196,19 @@ def p28_regularize(v):
 
 @query(f"SELECT a.id, round({sql_distance('a', 'b')}, 4) AS d1, round({sql_distance('a', 'b', 6378137.0)}, 4) AS d2 FROM v_pole a JOIN v_ins b ON a.id % 100 = b.id % 100 AND b.id <= 100")
 def p29_distance(v):
-    a, b = v.v_pole.alias("a"), v.v_ins.where("id <= 100").alias("b")
+    return _two_distances(v.v_pole, v.v_ins.where("id <= 100"), lambda a, b: a % 100 == b % 100)
+
+
+@query()
+def p29_distance_all(v):
+    """p29 with a partner for every row: its SQL names the first hundred of v_ins. Ids begin at 0, 20 poles to an inserted one."""
+    return _two_distances(v.v_pole, v.v_ins, lambda a, b: F.floor(a / 20) == b)
+
+
+def _two_distances(a, b, on):
+    a, b = a.alias("a"), b.alias("b")
     c = [F.col(x) for x in ("a.lat", "a.lon", "b.lat", "b.lon")]
-    return a.join(b, F.col("a.id") % 100 == F.col("b.id") % 100).select("a.id", F.round(geo.distance(*c), 4).alias("d1"), F.round(geo.distance(*c, geo.EARTH_RAYS), 4).alias("d2"))
+    return a.join(b, on(F.col("a.id"), F.col("b.id"))).select("a.id", F.round(geo.distance(*c), 4).alias("d1"), F.round(geo.distance(*c, geo.EARTH_RAYS), 4).alias("d2"))
 
 
 @query(f"SELECT way, round(sum(len), 3) AS total, round(max(len), 4) AS longest FROM ({_LEN}) GROUP BY way")

@@ -26,3 +26,14 @@ def test_without_cut(spark, name, of, cut):
     got = connect(FOLDER).execute(ORACLES[of].replace(cut, ""))
     names = [d[0] for d in got.description]
     assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
+
+
+def test_distance_pairs_all(spark):
+    got = QUERIES["p29_distance_all"](spark, "/root/testdata/sf0.01")
+    con = connect("/root/testdata/sf0.01")
+    sql = ORACLES["p29_distance"].replace("a.id % 100 = b.id % 100 AND b.id <= 100", "a.id // 20 = b.id")
+    assert sql != ORACLES["p29_distance"]
+    assert got.count() == con.execute("SELECT count(*) FROM part").fetchone()[0]
+    r = con.execute(sql)
+    names = [d[0] for d in r.description]
+    assert rows(got.columns, got.collect()) == rows(names, r.fetchall())
