@@ -27,6 +27,8 @@ N_BEST = 3
 #: An unknown character scores so much less than the worst piece of the model.
 UNKNOWN_STEP = 10.0
 TABLE_PARTS = 1_500_000
+#: Ids of a batch that goes back, about.
+BATCH_IDS = 2_000_000
 
 _SEARCHERS: dict[tuple[str, int], Lattice] = {}
 
@@ -51,6 +53,7 @@ class Lattice:
         self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pool, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.score, self.step = np.empty(0), np.empty((0, self.n - 1))
+        self.others, self.other_first, self.other_count = np.empty(0, np.uint32), np.empty((0, self.n - 1), np.int64), np.empty((0, self.n - 1), np.int64)
 
     def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a text whose spaces are written as the piece character.
@@ -105,19 +108,29 @@ class Lattice:
         count = np.array([len(x[0][1]) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x[0][1]), np.uint32, int(count.sum()))
         steps = np.full((len(parts), self.n - 1), np.inf)
+        lengths = np.zeros((len(parts), self.n - 1), np.int64)
         for k, x in enumerate(found):
             for j in range(1, len(x)):
                 steps[k, j - 1] = x[0][0] - x[j][0]
+                lengths[k, j - 1] = len(x[j][1])
+        others = np.fromiter((i for x in found for y in x[1:] for i in y[1]), np.uint32, int(lengths.sum()))
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.row = np.insert(self.hashes, at, hashes), np.insert(self.row, at, np.arange(len(self.count), len(self.count) + len(parts)))
         self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(count) - count))
         self.pool, self.count = np.concatenate((self.pool, flat)), np.concatenate((self.count, count))
         self.score = np.concatenate((self.score, [x[0][0] for x in found]))
         self.step = np.concatenate((self.step, steps))
+        self.other_first = np.concatenate((self.other_first, len(self.others) + (np.cumsum(lengths) - lengths.ravel()).reshape(lengths.shape)))
+        self.others, self.other_count = np.concatenate((self.others, others)), np.concatenate((self.other_count, lengths))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[float]]]:
         """(ids of the best segmentation, scores of the n best) of each text; an empty one: no ids, score 0."""
-        held: list[tuple[np.ndarray, float, np.ndarray]] = []
+        for ids, scores in self.segmentations(column):
+            yield ids[0], scores
+
+    def segmentations(self, column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[float]]]:
+        """(ids, scores) of the n best segmentations of each text, best first."""
+        held: list[tuple[np.ndarray, float, list[tuple]]] = []
         for data, cuts, more in self.hasher.blocks(prefixed(column)):
             starts, ends, hashes = self.hasher.spans(data, cuts)
             one, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -139,20 +152,37 @@ class Lattice:
             for k in range(len(cuts)):
                 a, b = edge[k], edge[k + 1]
                 mine = row[a:b]
-                near = self.step[mine, 0] if self.n > 1 else np.empty(0)
-                near = mine[np.argpartition(near, self.n - 2)[: self.n - 1]] if len(mine) > self.n - 1 else mine
-                held.append((ids[total[a] : total[b]], float(sums[b] - sums[a]), self.step[near]))
+                if self.n > 1 and len(mine) > self.n - 1:
+                    near = np.argpartition(self.step[mine, 0], self.n - 2)[: self.n - 1].tolist()
+                else:
+                    near = range(len(mine) if self.n > 1 else 0)
+                held.append((ids[total[a] : total[b]], float(sums[b] - sums[a]), [self._ways(int(mine[i]), int(total[a + i] - total[a])) for i in near]))
                 if not more:
                     yield self._joined(held)
                     held = []
 
-    def _joined(self, held: list[tuple[np.ndarray, float, np.ndarray]]) -> tuple[np.ndarray, list[float]]:
+    def _ways(self, row: int, at: int) -> tuple[tuple[float, ...], int, int, list[np.ndarray]]:
+        """(steps, place in the best ids, length there, ids of the other ways) of a part of a text."""
+        first, count = self.other_first[row].tolist(), self.other_count[row].tolist()
+        return tuple(self.step[row].tolist()), at, int(self.count[row]), [self.others[f : f + c] for f, c in zip(first, count, strict=True)]
+
+    def _joined(self, held: list[tuple[np.ndarray, float, list[tuple]]]) -> tuple[list[np.ndarray], list[float]]:
         """A text's, from its parts'. Only the n - 1 parts with the smallest first step can differ from the best in the n best."""
         ids = held[0][0] if len(held) == 1 else np.concatenate([x[0] for x in held])
-        base = sum(x[1] for x in held)
-        steps = sorted(tuple(r) for x in held for r in x[2].tolist())[: self.n - 1]
-        sums = sorted(v for v in (sum(x) for x in product(*[(0.0, *s) for s in steps])) if v != np.inf)
-        return ids, [base - x for x in sums[: self.n]]
+        base, before, ways = sum(x[1] for x in held), 0, []
+        for part, _, near in held:
+            ways += [(steps, before + at, count, others) for steps, at, count, others in near]
+            before += len(part)
+        ways = sorted(ways, key=lambda x: x[:2])[: self.n - 1]
+        sums = sorted((v, x) for v, x in ((sum((0.0, *w[0])[k] for w, k in zip(ways, x, strict=True)), x) for x in product(range(self.n), repeat=len(ways))) if v != np.inf)
+        out = []
+        for _, x in sums[: self.n]:
+            cuts, end = [], 0
+            for at, count, other in sorted((w[1], w[2], w[3][k - 1]) for w, k in zip(ways, x, strict=True) if k):
+                cuts += [ids[end:at], other]
+                end = at + count
+            out.append(np.concatenate([*cuts, ids[end:]]) if cuts else ids)
+        return out, [base - v for v, _ in sums[: self.n]]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined, piece characters as spaces, the first space gone."""
@@ -163,29 +193,58 @@ class Lattice:
         return [bytes([int(x[3:5], 16)]) if k == 6 else x.replace(SPACE, " ").encode() for x, k in zip(self.model.names, self.model.kinds, strict=True)]
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint32), *values]).astype(np.int32), kind))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
     lattice = searcher(path, n)
     table = lattice.table()
     mark = SPACE.encode()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_())
+    names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best_scores", "round_trip", "n_best_ids"]
+
+    def emitted(rows: list[tuple], segments: list[list[np.ndarray]]) -> pa.RecordBatch:
+        inner = _lists([x for ids in segments for x in ids], pa.int32())
+        nested = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, segments)]), pa.int32()), inner)
+        return pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], nested], names)
+
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
+        rows, segments, size = [], [], 0
         texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
-        for (ids, scores), text in zip(lattice.encode(batch.column("text")), texts, strict=True):
+        for doc_id, (all_ids, scores), text in zip(batch.column("doc_id"), lattice.segmentations(batch.column("text")), texts, strict=True):
+            ids = all_ids[0]
             back = b"".join([table[i] for i in ids.tolist()])
-            row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), scores[0], scores, back.removeprefix(b" ") == (text.as_py() or b"").replace(mark, b" "))
-            for column, x in zip(out, row, strict=True):
-                column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best_scores", "round_trip"])
+            rows.append((doc_id.as_py(), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), scores[0], scores, back.removeprefix(b" ") == (text.as_py() or b"").replace(mark, b" ")))
+            segments.append(all_ids)
+            size += sum(map(len, all_ids))
+            if size > BATCH_IDS:
+                yield emitted(rows, segments)
+                rows, segments, size = [], [], 0
+        if rows:
+            yield emitted(rows, segments)
 
 
 def encode_nbest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, best_score, n_best_scores, round_trip) of each row.
+    """(doc_id, n_pieces, ids_crc32, best_score, n_best_scores, round_trip, n_best_ids) of each row.
 
-    ids_crc32 is of the best segmentation's ids (little-endian unsigned 32-bit); n_best_scores has the scores
-    of the n best, fewer where there are not so many; round_trip: decoding the ids gives the text (in which a
-    written piece character counts as a space, as the model has it). Null and empty texts have no pieces and
-    the one score 0. Repeated rows and rows without id are encoded row by row; no shuffle.
+    n_best_ids has the ids of the n best segmentations, best first, and n_best_scores their scores; fewer where
+    there are not so many. ids_crc32 is of the best one's ids (little-endian unsigned 32-bit); round_trip:
+    decoding them gives the text (in which a written piece character counts as a space, as the model has it).
+    Null and empty texts have one segmentation without pieces, of score 0. Repeated rows and rows without id
+    are encoded row by row; no shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda b: _encoded(b, path, n), "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best_scores array<double>, round_trip boolean")
+    return rows.mapInArrow(lambda b: _encoded(b, path, n), "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best_scores array<double>, round_trip boolean, n_best_ids array<array<int>>")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    lattice = searcher(path, N_BEST)
+    for batch in batches:
+        texts = [None if x is None else lattice.decode(x) for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of each row of `rows` (doc_id, ids array<int>); null ids give null."""
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(lambda b: _decoded(b, path), "doc_id long, text string")

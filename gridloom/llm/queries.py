@@ -59,7 +59,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("n_best_ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,6 +412,24 @@ def test_nbest(spark, path, odd):
     assert {r.doc_id: r.n_pieces for r in rows}[0] == 0 and all(r.n_best_scores == sorted(r.n_best_scores, reverse=True) for r in rows)
 
 
+def test_nbest_ids(spark, path):
+    model = path("piece_bpe_32k.model")
+    lattice = nbest.Lattice(model, 3)
+    rng = random.Random(17)
+    texts = ["", prose(rng, 300), *("".join(rng.choices(["a", "b", "the", "in", " ", "é", "日"], k=rng.randint(1, 9))) for _ in range(50))]
+    rows = nbest.encode_nbest(table(spark, texts, True), model).select("doc_id", F.posexplode("n_best_ids").alias("rank", "ids"), "n_best_scores")
+    got = rows.collect()
+    assert any(r.rank == 2 for r in got)
+    normal = {i: s for i, s in lattice.pieces.values()}
+    seen = defaultdict(list)
+    for r in got:
+        seen[r.doc_id].append(tuple(r.ids))
+        if all(i in normal for i in r.ids):
+            assert abs(sum(normal[i] for i in r.ids) - r.n_best_scores[r.rank]) < 1e-6
+    assert sorted(seen) == list(range(len(texts))) and all(len(set(x)) == len(x) for x in seen.values())
+    assert all(r.text == texts[r.doc_id] for r in nbest.decode_pieces(rows, model).collect()), "every rank decodes to the text"
+
+
 def test_pipeline(spark):
     import __spark_entry__
     import corpus_pipeline
