@@ -39,6 +39,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "Licensed under the GNU General Public License, version 2 or later.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
@@ -62,6 +63,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc_by_sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc_by_nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc0": ("Released under CC0 1.0 Universal, no rights reserved.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain."),
+    "proprietary": (
+        "All rights reserved.",
+        "Copyright (c) by the owner. All rights reserved.",
+        "All rights reserved by the author of this work.",
+        "This software is proprietary and confidential; unauthorized copying of this file, via any medium, is strictly prohibited.",
+        "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
+    ),
 }
 #: What is no license, though it shares words with one.
 NEGATIVES: tuple[str, ...] = (
@@ -71,7 +79,8 @@ NEGATIVES: tuple[str, ...] = (
     "This program is for any person without restriction on the use of the library.",
     "The software was modified and the source published in binary form.",
     "You may use this to obtain a copy of the program at any time.",
-    "All rights reserved by the author of this work.",
+    "The table was reserved for all the guests of the house.",
+    "The rights of all people were heard before the court.",
     "Permission to enter was granted free of charge to any person with a copy of the letter.",
     "The Apache helicopter and the MIT laboratory were in the news.",
     "The creative team and the commons room were open to the public.",
@@ -116,19 +125,20 @@ class Classifier:
         return [x / sum(e) for x in e]
 
 
-def _made(seed: int) -> list[tuple[set[str], int]]:
+def _made(seed: int, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[set[str], int]]:
     """Training paragraphs by a fixed rule: templates, their halves, and versions with a word lost or strange ones around; negatives alike."""
     import random
 
     rng = random.Random(seed)
-    families = list(TEMPLATES)
-    strange = ["onthre", "eranst", "leaux", "schung", "osbo", "thnd", "reing", "etait", "und", "les", "the", "of", "to"]
+    families = list(templates)
+    strange = ["river", "seven", "maison", "haus", "blue", "xqz", "kerl", "table", "und", "les", "the", "of", "to"]
     out: list[tuple[set[str], int]] = []
-    for label, texts in [*[(k, t) for k, t in enumerate(TEMPLATES.values())], (len(families), NEGATIVES)]:
+    for label, texts in [*[(k, t) for k, t in enumerate(templates.values())], (len(families), NEGATIVES)]:
         for text in texts:
             w = _words(text)
             versions = [w] * 3 + [w[: max(4, len(w) * 2 // 3)], w[len(w) // 3 :]]
-            versions += [w[:i] + w[i + 1 :] for i in rng.sample(range(len(w)), min(3, len(w)))]
+            if len(w) > 3:
+                versions += [w[:i] + w[i + 1 :] for i in rng.sample(range(len(w)), 3)]
             versions += [rng.choices(strange, k=rng.randint(1, 4)) + w, w + rng.choices(strange, k=rng.randint(1, 4))]
             if label < len(families) and len(w) > 12:  # a half of a long notice can fit more than one family
                 versions = versions[:3] + versions[5:]
@@ -138,10 +148,14 @@ def _made(seed: int) -> list[tuple[set[str], int]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def trained(epochs: int = 60, rate: float = 0.15, penalty: float = 2e-4, seed: int = 7) -> Classifier:
-    """Stochastic gradient steps with a lazily applied L1 penalty; the last class is unknown. Always the same result."""
-    rows, families = _made(seed), [*TEMPLATES, "unknown"]
+@lru_cache(maxsize=2)
+def trained(epochs: int = 60, rate: float = 0.15, penalty: float = 2e-4, seed: int = 7, left_out: tuple[str, ...] = ()) -> Classifier:
+    """Stochastic gradient steps with a lazily applied L1 penalty; the last class is unknown. Always the same result.
+
+    left_out: templates it isn't trained on, for tests.
+    """
+    templates = {k: tuple(t for t in ts if t not in left_out) for k, ts in TEMPLATES.items()}
+    rows, families = _made(seed, templates), [*TEMPLATES, "unknown"]
     c = Classifier(families, {}, [0.0] * len(families))
     n = len(families)
     for _ in range(epochs):
@@ -160,7 +174,7 @@ def trained(epochs: int = 60, rate: float = 0.15, penalty: float = 2e-4, seed: i
                 w[k] = math.copysign(max(0.0, abs(x) - penalty * 10), x)
     c.weights = {g: [round(x, 4) for x in w] for g, w in sorted(c.weights.items()) if max(map(abs, w)) > 0.02}
     c.bias = [round(x, 4) for x in c.bias]
-    held = _made(seed + 1)
+    held = _made(seed + 1, templates)
 
     def loss(t: float) -> float:
         c.temperature = t

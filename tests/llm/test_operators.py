@@ -108,6 +108,20 @@ def test_license_classifier_held_out():
     assert all(any(a in " ".join(licenses._words(t)) for a in c.anchors) for ts in licenses.TEMPLATES.values() for t in ts)
 
 
+def test_license_notices_left_out():
+    notices = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc_by_nc", "All rights reserved.": "proprietary"}
+    c = licenses.trained(left_out=tuple(notices))
+    for text, family in notices.items():
+        p = c.probabilities(licenses._ngrams(licenses._words(text)))
+        assert c.families[max(range(len(p)), key=p.__getitem__)] == family and max(p) >= licenses.MIN_PROBABILITY, text
+
+
+def test_all_rights_reserved(spark):
+    texts = ["a line\nAll rights reserved.\nmore", "The table was reserved for all the guests.", "Human rights were discussed."]
+    got = [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licenses(table(spark, texts, True)).collect()]
+    assert got == [(0, 1, "proprietary", True)]
+
+
 def page(article, nav="Home News Sport Weather Travel Contact us now please", ad="Buy the best shoes in town today only here", marked=True):
     tag = "article" if marked else "div"
     return f"<html><head><title>t</title><script>var a='</p>';</script></head><body><{'nav' if marked else 'div'}>{nav}</{'nav' if marked else 'div'}><div{' class=ad' if marked else ''}>{ad}</div><{tag}><h1>T&amp;1</h1><p>{article}</p></{tag}></body></html>"
