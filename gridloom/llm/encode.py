@@ -2,7 +2,7 @@
 
 Texts are cut where the file's own first split always cuts: before white space that follows a word. The ids
 of the parts are then the ids of the whole. Parts are found and hashed in numpy; each worker process asks a
-library only for parts that its table hasn't. A text in which such a cut could be unsure goes to the
+library only for parts that its table hasn't, byte for byte. A text in which such a cut could be unsure goes to the
 library whole.
 """
 
@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .parts import Grown, PartTable
 from .shingles import Hasher
 
-#: Parts in a worker's table (about 40 bytes each); it starts anew beyond that.
+#: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
 TABLE_PARTS = 1_500_000
 #: Fixed value: the first split of byte-level files that use their built-in pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,12 +44,12 @@ class Encoder:
         self.hasher = Hasher(fold=False, lead=kind == "bytes")
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.quick = self._byte_pairs(path)
+        self.parts = PartTable(self.hasher)
         self._empty()
 
     def _empty(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.parts.empty()
+        self.first, self.count, self.pool = Grown(np.int64), Grown(np.int32), Grown(np.uint32)
 
     def _byte_pairs(self, path: str):
         """A quicker library with the same merges, where the file is a plain byte-level one whose ids are its merge ranks."""
@@ -74,38 +75,23 @@ class Encoder:
             return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
         return [self.library.encode(x, add_special_tokens=False).ids if any(s in x for s in self.special) else self.quick.encode_ordinary(x) for x in parts]
 
-    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        ids = self._ask(parts)
+    def _learn(self, parts: list[bytes]) -> None:
+        ids = self._ask([x.decode("utf-8", "replace") for x in parts])
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.empty(self.used + 2 * len(flat), np.uint32)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        first = self.used + np.cumsum(count) - count
-        self.used += len(flat)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.count = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.first.add(self.pool.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.pool.add(np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())))
 
     def _block(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts of a block."""
-        starts, ends, hashes = self.hasher.spans(data, cuts)
-        one, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > TABLE_PARTS:
+        if len(self.parts) > TABLE_PARTS:
             self._empty()
-        at = np.searchsorted(self.hashes, one)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == one[known]
-        if not known.all():
-            raw = data.tobytes()
-            new = np.flatnonzero(~known)
-            self._learn(one[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in index[new]])
-            at = np.searchsorted(self.hashes, one)
-        row = at[inverse]
-        count = self.count[row]
+        starts, row = self.parts.rows(data, cuts, self._learn)
+        count = self.count.values[row].astype(np.int64)
         total = np.cumsum(count)
-        where = np.repeat(self.first[row] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
+        where = np.repeat(self.first.values[row] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
         bounds = np.concatenate(([0], total))[np.searchsorted(starts, cuts)]
-        out = np.split(self.pool[where], bounds[:-1])
+        out = np.split(self.pool.values[where], bounds[:-1])
         if self.kind == "bytes":
             for k in self._unsure(data, cuts, starts):
                 text = data[(cuts[k - 1] if k else 0) : cuts[k]].tobytes().decode("utf-8", "replace")

@@ -6,13 +6,19 @@ the text's start to it: an exact heuristic for an A-star search that runs backwa
 meets the N best segmentations in order and expands little else.
 
 Text is cut where no edge can lie across; the lattices of the parts are independent, so the N best of a text
-come from the N best of its parts. Parts are searched once a worker.
+come from the N best of its parts. Parts are searched once a worker; equal parts are told by their bytes.
+
+Scores are the model file's. In a file of a unigram model they are log probabilities, and the best segmentation
+is the one the library gives. A file of a merging (BPE) model has minus the rank of each merge there: the best
+segmentation is then the one whose pieces have the least sum of ranks, which is seldom the one that merging
+reaches (token_counts gives the number of that one). It decodes to the same text.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import product
 
@@ -21,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parts import Grown, PartTable
 from .pieces import SPACE, PartHasher, PieceModel, prefixed
 
 N_BEST = 3
@@ -29,6 +36,8 @@ UNKNOWN_STEP = 10.0
 TABLE_PARTS = 1_500_000
 #: Ids of a batch that goes back, about.
 BATCH_IDS = 2_000_000
+#: In parts of more characters edges aren't held but found again on the way back: a number a character is all that stays.
+LONG_PART = 2_000
 
 _SEARCHERS: dict[tuple[str, int], Lattice] = {}
 
@@ -50,10 +59,27 @@ class Lattice:
         self._empty()
 
     def _empty(self) -> None:
-        self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.pool, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.score, self.step = np.empty(0), np.empty((0, self.n - 1))
-        self.others, self.other_first, self.other_count = np.empty(0, np.uint32), np.empty((0, self.n - 1), np.int64), np.empty((0, self.n - 1), np.int64)
+        self.parts = PartTable(self.hasher)
+        self.pool, self.first, self.count, self.score = Grown(np.uint32), Grown(np.int64), Grown(np.int64), Grown(float)
+        self.step, self.others = Grown(float, (self.n - 1,)), Grown(np.uint32)
+        self.other_first, self.other_count = Grown(np.int64, (self.n - 1,)), Grown(np.int64, (self.n - 1,))
+
+    def _edges(self, text: str, j: int, best) -> list[tuple[float, int, int | str, float]]:
+        """(best score of a way over the edge, where it begins, piece or character, its score) of the edges that end at `j`, the best first."""
+        get, longest = self.pieces.get, self.longest
+        edges = []
+        for i in range(j - 1, j - 1 - longest if j > longest else -1, -1):
+            if found := get(text[i:j]):
+                edges.append((best[i] + found[1], i, found[0], found[1]))
+        if get(text[j - 1]) is None:
+            edges.append((best[j - 1] + self.unknown, j - 1, text[j - 1], self.unknown))
+        top = 0
+        for k in range(1, len(edges)):
+            if edges[k][0] > edges[top][0]:
+                top = k
+        if top:
+            edges[0], edges[top] = edges[top], edges[0]
+        return edges
 
     def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a text whose spaces are written as the piece character.
@@ -61,31 +87,21 @@ class Lattice:
         As the heuristic is exact, the best way on from a place costs nothing more; the search follows it at
         once, and its agenda holds only the n best of the other edges it passes.
         """
-        m, get, longest = len(text), self.pieces.get, self.longest
-        best = [0.0] * (m + 1)
+        m = len(text)
+        best = array("d", bytes(8 * (m + 1)))
         into: list[list[tuple[float, int, int | str, float]]] = [[]]
         for j in range(1, m + 1):
-            edges = []
-            for i in range(j - 1, j - 1 - longest if j > longest else -1, -1):
-                if found := get(text[i:j]):
-                    edges.append((best[i] + found[1], i, found[0], found[1]))
-            if get(text[j - 1]) is None:
-                edges.append((best[j - 1] + self.unknown, j - 1, text[j - 1], self.unknown))
-            top = 0
-            for k in range(1, len(edges)):
-                if edges[k][0] > edges[top][0]:
-                    top = k
-            if top:
-                edges[0], edges[top] = edges[top], edges[0]
+            edges = self._edges(text, j, best)
             best[j] = edges[0][0]
-            into.append(edges)
+            if m <= LONG_PART:
+                into.append(edges)
         out: list[tuple[float, tuple[int, ...]]] = []
         agenda: list[tuple[float, int, tuple, int, float]] = [(-best[m], 0, (), m, 0.0)]
         made = 0
         while agenda and len(out) < self.n:
             _, _, path, at, score = heapq.heappop(agenda)
             while at:
-                edges = into[at]
+                edges = into[at] if m <= LONG_PART else self._edges(text, at, best)
                 for v, i, piece, s in edges[1:]:
                     made += 1
                     heapq.heappush(agenda, (-(v + score), made, (piece, path), i, s + score))
@@ -103,25 +119,23 @@ class Lattice:
             out.append((score, tuple(ids)))
         return out
 
-    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        found = [self.search(p) for p in parts]
+    def _learn(self, parts: list[bytes]) -> None:
+        found = [self.search(p.decode("utf-8", "replace").replace(" ", SPACE)) for p in parts]
         count = np.array([len(x[0][1]) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x[0][1]), np.uint32, int(count.sum()))
         steps = np.full((len(parts), self.n - 1), np.inf)
         lengths = np.zeros((len(parts), self.n - 1), np.int64)
         for k, x in enumerate(found):
             for j in range(1, len(x)):
                 steps[k, j - 1] = x[0][0] - x[j][0]
                 lengths[k, j - 1] = len(x[j][1])
-        others = np.fromiter((i for x in found for y in x[1:] for i in y[1]), np.uint32, int(lengths.sum()))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.row = np.insert(self.hashes, at, hashes), np.insert(self.row, at, np.arange(len(self.count), len(self.count) + len(parts)))
-        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(count) - count))
-        self.pool, self.count = np.concatenate((self.pool, flat)), np.concatenate((self.count, count))
-        self.score = np.concatenate((self.score, [x[0][0] for x in found]))
-        self.step = np.concatenate((self.step, steps))
-        self.other_first = np.concatenate((self.other_first, len(self.others) + (np.cumsum(lengths) - lengths.ravel()).reshape(lengths.shape)))
-        self.others, self.other_count = np.concatenate((self.others, others)), np.concatenate((self.other_count, lengths))
+        self.first.add(self.pool.n + np.cumsum(count) - count)
+        self.pool.add(np.fromiter((i for x in found for i in x[0][1]), np.uint32, int(count.sum())))
+        self.count.add(count)
+        self.score.add(np.array([x[0][0] for x in found]))
+        self.step.add(steps)
+        self.other_first.add(self.others.n + (np.cumsum(lengths) - lengths.ravel()).reshape(lengths.shape))
+        self.others.add(np.fromiter((i for x in found for y in x[1:] for i in y[1]), np.uint32, int(lengths.sum())))
+        self.other_count.add(lengths)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[float]]]:
         """(ids of the best segmentation, scores of the n best) of each text; an empty one: no ids, score 0."""
@@ -132,28 +146,20 @@ class Lattice:
         """(ids, scores) of the n best segmentations of each text, best first."""
         held: list[tuple[np.ndarray, float, list[tuple]]] = []
         for data, cuts, more in self.hasher.blocks(prefixed(column)):
-            starts, ends, hashes = self.hasher.spans(data, cuts)
-            one, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.hashes) > TABLE_PARTS:
+            if len(self.parts) > TABLE_PARTS:
                 self._empty()
-            at = np.searchsorted(self.hashes, one)
-            known = at < len(self.hashes)
-            known[known] = self.hashes[at[known]] == one[known]
-            if not known.all():
-                new, raw = np.flatnonzero(~known), data.tobytes()
-                self._learn(one[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", SPACE) for i in index[new]])
-                at = np.searchsorted(self.hashes, one)
-            row = self.row[at][inverse]
-            count = self.count[row]
+            starts, row = self.parts.rows(data, cuts, self._learn)
+            count = self.count.values[row]
             total = np.concatenate(([0], np.cumsum(count)))
-            ids = self.pool[np.repeat(self.first[row] - total[:-1], count) + np.arange(int(total[-1]))]
-            sums = np.concatenate(([0.0], np.cumsum(self.score[row])))
+            ids = self.pool.values[np.repeat(self.first.values[row] - total[:-1], count) + np.arange(int(total[-1]))]
+            sums = np.concatenate(([0.0], np.cumsum(self.score.values[row])))
+            step = self.step.values
             edge = np.concatenate(([0], np.searchsorted(starts, cuts)))
             for k in range(len(cuts)):
                 a, b = edge[k], edge[k + 1]
                 mine = row[a:b]
                 if self.n > 1 and len(mine) > self.n - 1:
-                    near = np.argpartition(self.step[mine, 0], self.n - 2)[: self.n - 1].tolist()
+                    near = np.argpartition(step[mine, 0], self.n - 2)[: self.n - 1].tolist()
                 else:
                     near = range(len(mine) if self.n > 1 else 0)
                 held.append((ids[total[a] : total[b]], float(sums[b] - sums[a]), [self._ways(int(mine[i]), int(total[a + i] - total[a])) for i in near]))
@@ -163,8 +169,8 @@ class Lattice:
 
     def _ways(self, row: int, at: int) -> tuple[tuple[float, ...], int, int, list[np.ndarray]]:
         """(steps, place in the best ids, length there, ids of the other ways) of a part of a text."""
-        first, count = self.other_first[row].tolist(), self.other_count[row].tolist()
-        return tuple(self.step[row].tolist()), at, int(self.count[row]), [self.others[f : f + c] for f, c in zip(first, count, strict=True)]
+        first, count = self.other_first.values[row].tolist(), self.other_count.values[row].tolist()
+        return tuple(self.step.values[row].tolist()), at, int(self.count.values[row]), [self.others.values[f : f + c].copy() for f, c in zip(first, count, strict=True)]
 
     def _joined(self, held: list[tuple[np.ndarray, float, list[tuple]]]) -> tuple[list[np.ndarray], list[float]]:
         """A text's, from its parts'. Only the n - 1 parts with the smallest first step can differ from the best in the n best."""
@@ -231,8 +237,10 @@ def encode_nbest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     n_best_ids has the ids of the n best segmentations, best first, and n_best_scores their scores; fewer where
     there are not so many. ids_crc32 is of the best one's ids (little-endian unsigned 32-bit); round_trip:
     decoding them gives the text (in which a written piece character counts as a space, as the model has it).
-    Null and empty texts have one segmentation without pieces, of score 0. Repeated rows and rows without id
-    are encoded row by row; no shuffle.
+    Segmentations of equal score come in a fixed order: the one found first, which is that of the shorter last piece.
+    Null and empty texts have one segmentation without pieces, of score 0. Texts of any length are encoded whole.
+    Repeated rows and rows without id are encoded row by row; no shuffle. No rows: no rows. Further columns, of any
+    name, don't count.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(lambda b: _encoded(b, path, n), "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best_scores array<double>, round_trip boolean, n_best_ids array<array<int>>")

@@ -3,7 +3,7 @@
 The distinct parts of a batch of texts (cut where no piece can lie across) are one ragged
 array of symbols. In each round every sequence applies its pair of the lowest rank, leftmost first, all
 sequences at once; those without a pair that makes a piece are done, and their symbols counted. Counts of parts
-are kept in a table of the worker, so a part is merged once.
+are kept in a table of the worker, so a part is merged once; equal parts are told by their bytes.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parts import Grown, PartTable
 from .pieces import SPACE, PartHasher, PieceModel, prefixed
 
 MAX_TOKENS = 4096
-TABLE_PARTS = 4_000_000
+TABLE_PARTS = 3_000_000
 #: After so many rounds only long sequences are left; from then on they apply all places of their pair that are sure.
 SINGLE_ROUNDS = 12
 NONE = np.int64(1 << 30)
@@ -39,7 +40,7 @@ class TokenCounter:
         self.model = PieceModel(path)
         self.hasher = PartHasher(self.model)
         self._pairs()
-        self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.parts, self.counts = PartTable(self.hasher), Grown(np.int64)
 
     def _pairs(self) -> None:
         """Sorted keys of symbol pairs with the rank and symbol of the piece they make. Symbols: pieces, and characters that are none."""
@@ -155,24 +156,18 @@ class TokenCounter:
         first[where] = True
         return np.flatnonzero(take & (~unsure[own] | first))
 
+    def _learn(self, parts: list[bytes]) -> None:
+        self.counts.add(self.merged_counts([x.decode("utf-8", "replace").replace(" ", SPACE) for x in parts]))
+
     def counts_of(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text of an Arrow column; null counts as empty, an empty text has none."""
         out, more_of = [], 0
         for data, cuts, more in self.hasher.blocks(prefixed(column)):
-            starts, ends, hashes = self.hasher.spans(data, cuts)
-            one, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.hashes) > TABLE_PARTS:
-                self.hashes, self.counts = self.hashes[:0], self.counts[:0]
-            at = np.searchsorted(self.hashes, one)
-            known = at < len(self.hashes)
-            known[known] = self.hashes[at[known]] == one[known]
-            if not known.all():
-                new = np.flatnonzero(~known)
-                raw = data.tobytes()
-                parts = [raw[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", SPACE) for i in index[new]]
-                self.hashes, self.counts = np.insert(self.hashes, at[new], one[new]), np.insert(self.counts, at[new], self.merged_counts(parts))
-                at = np.searchsorted(self.hashes, one)
-            total = np.concatenate(([0], np.cumsum(self.counts[at][inverse])))[np.searchsorted(starts, np.concatenate(([0], cuts)))]
+            if len(self.parts) > TABLE_PARTS:
+                self.parts.empty()
+                self.counts = Grown(np.int64)
+            starts, row = self.parts.rows(data, cuts, self._learn)
+            total = np.concatenate(([0], np.cumsum(self.counts.values[row])))[np.searchsorted(starts, np.concatenate(([0], cuts)))]
             n = np.diff(total)
             n[0] += more_of
             if more:
@@ -192,6 +187,10 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterat
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = MAX_TOKENS) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of each row, null text as empty with no tokens. Repeated rows and rows without id are counted row by row; no shuffle. Further columns don't count."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of each row, null text as empty with no tokens.
+
+    Repeated rows and rows without id are counted row by row; no shuffle. A text of any length is counted whole.
+    No rows: no rows. Further columns, of any name, don't count.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(lambda b: _counted(b, path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

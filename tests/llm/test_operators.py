@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import htmlparse, jaccard, licenses, lines, nbest, packing, pages, quality, sketch, tokencount, tokenfiles
 from gridloom.llm.components import components
 from gridloom.llm.encode import Encoder
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, twins
 
 DOCS = "doc_id long, text string"
 
@@ -75,6 +75,40 @@ def test_encoder(path, odd, name, kind):
             assert e.library.encode(t or "", add_special_tokens=False).ids == ids.tolist(), repr(t)
 
 
+def test_words_of_one_hash(path, odd, monkeypatch):
+    """Tables tell words by their bytes: nothing changes where nearly all words share a hash."""
+    from gridloom.llm import shingles
+
+    rng = random.Random(20)
+    texts = pa.array(odd[:-12] + [prose(rng, 30) for _ in range(20)] + ["a\x00 a", "a a\x00", "abcdefgh abcdefghi abcdefgh"])
+
+    def everything():
+        return (
+            [x.tolist() for x in Encoder(path("byte_bpe_50k.json"), "bytes").ids(texts)],
+            [x.tolist() for x in Encoder(path("word_bpe_49k.json"), "words").ids(texts)],
+            tokencount.TokenCounter(path("piece_bpe_32k.model")).counts_of(texts).tolist(),
+            [([i.tolist() for i in ids], s) for ids, s in nbest.Lattice(path("piece_bpe_32k.model")).segmentations(texts)],
+        )
+
+    before = everything()
+    monkeypatch.setattr(shingles.Hasher, "hashes", lambda self, data, starts, ends: (data[starts] % 3).astype(np.uint64) if len(starts) else np.empty(0, np.uint64))
+    assert everything() == before
+
+
+def test_twin_words(spark, path):
+    import sentencepiece
+
+    model = path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    for n in (512, 1024, 2048, 4096):
+        pair = twins(n)
+        assert tokencount.TokenCounter(model).counts_of(pa.array(pair)).tolist() == [len(sp.encode(t)) for t in pair]
+        a, b = jaccard.Hasher().sets(pa.array(pair), 3)
+        assert len(a) == len(b) == 1 and a[0] != b[0]
+    rows = list(enumerate([t for n in (512, 1024, 2048, 4096) for t in twins(n)]))
+    assert all(r.component_id == r.doc_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
+
+
 def test_long_text_is_cut_safely(path):
     from gridloom.llm import shingles
 
@@ -403,27 +437,43 @@ def test_nbest(spark, path, odd):
     lattice = nbest.Lattice(model, 3)
 
     def brute(t):
+        """All (score, ids), best first."""
         t, out = t.replace(" ", "▁"), []
 
-        def go(i, s):
+        def go(i, s, ids):
             if i == len(t):
-                out.append(s)
+                out.append((s, ids))
             for j in range(i + 1, len(t) + 1):
                 if t[i:j] in lattice.pieces:
-                    go(j, s + lattice.pieces[t[i:j]][1])
+                    go(j, s + lattice.pieces[t[i:j]][1], (*ids, lattice.pieces[t[i:j]][0]))
             if i < len(t) and t[i] not in lattice.pieces:
-                go(i + 1, s + lattice.unknown)
+                go(i + 1, s + lattice.unknown, (*ids, *[lattice.model.bytes[x] for x in t[i].encode()]))
 
-        go(0, 0.0)
-        return sorted(out, reverse=True)[:3]
+        go(0, 0.0, ())
+        return sorted(out, key=lambda x: -x[0])
 
     rng = random.Random(16)
     texts = ["".join(rng.choices(["a", "b", "the", "in", " ", "\n", "é", "日", "q"], k=rng.randint(1, 6))) for _ in range(200)]
-    for t, (ids, scores) in zip(texts, lattice.encode(pa.array(texts)), strict=True):
-        assert scores == brute(" " + t) and lattice.decode(ids.tolist()) == t
+    for t, (ids, scores) in zip(texts, lattice.segmentations(pa.array(texts)), strict=True):
+        every = brute(" " + t)
+        assert scores == [s for s, _ in every[:3]]
+        assert len({tuple(x.tolist()) for x in ids}) == len(ids)
+        for x, s in zip(ids, scores, strict=True):
+            assert (s, tuple(x.tolist())) in every and lattice.decode(x.tolist()) == t
     rows = nbest.encode_nbest(table(spark, odd + texts[:20], True), model).collect()
     assert all(r.round_trip for r in rows) and len(rows) == len(odd) + 20
-    assert {r.doc_id: r.n_pieces for r in rows}[0] == 0 and all(r.n_best_scores == sorted(r.n_best_scores, reverse=True) for r in rows)
+    none = next(r for r in rows if odd[r.doc_id] is None) if None in odd else None
+    assert none.n_pieces == 0 and all(r.n_best_scores == sorted(r.n_best_scores, reverse=True) for r in rows)
+    assert nbest.encode_nbest(table(spark, texts).limit(0), model).count() == 0
+
+
+def test_nbest_of_long_parts(path, monkeypatch):
+    """A part whose edges aren't held gives the same segmentations."""
+    rng = random.Random(21)
+    texts = pa.array(["".join(rng.choices("abxth", k=900)), "the" * 200, "a" * 300, "日本語" * 100])
+    before = [([i.tolist() for i in ids], s) for ids, s in nbest.Lattice(path("piece_bpe_32k.model")).segmentations(texts)]
+    monkeypatch.setattr(nbest, "LONG_PART", 10)
+    assert [([i.tolist() for i in ids], s) for ids, s in nbest.Lattice(path("piece_bpe_32k.model")).segmentations(texts)] == before
 
 
 def test_nbest_ids(spark, path):
