@@ -182,6 +182,13 @@ def test_html(spark):
     assert small == {(k, t) for k, ts in got.items() for t in ts}, "chunks of a host find what one array finds"
 
 
+def test_html_odd_tables(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert pages.extract_pages(empty).count() == 0
+    none = spark.createDataFrame([(None, None, None), (None, "http://a/", "<p>a b</p>"), (None, "http://a/", "<p>a b</p>"), (1, None, "<p>" + "w " * 300_000)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in pages.extract_pages(none.withColumns({"spans": F.lit(1), "_p": F.lit(2), "boxes": F.lit("x")})).collect()) == [0, 3, 3, 599_999]
+
+
 def test_suffix_classes_find_all_repeats():
     rng = random.Random(6)
     text = np.array([rng.randint(1, 3) for _ in range(300)])
@@ -199,8 +206,96 @@ def test_suffix_classes_find_all_repeats():
 
 def test_blocks():
     m = htmlparse.blocks("<aside>s</aside><main><header><h1>T</h1></header><p>a<b>b</b> &amp; c<br>e<form>f</form></main><footer>z")
-    assert [t for k, t in m if k == htmlparse.MAIN] == ["T", "ab & c e"] and [t for k, t in m if k == htmlparse.SURROUNDING] == ["s", "f", "z"]
-    assert htmlparse.blocks("<article>a<section class='comments'><article>c</article></section>b</article>") == [(0, "a"), (1, "c"), (0, "b")]
+    assert [x.text for x in m if x.mark == htmlparse.MAIN] == ["T", "ab & c e"] and [(x.text, x.kind) for x in m if x.mark == htmlparse.SURROUNDING] == [("s", "aside"), ("f", "form"), ("z", "footer")]
+    assert htmlparse.blocks("<article>a<section class='comments'><article>c</article></section>b</article>") == [(0, "a", "", -1), (1, "c", "comments", 1), (0, "b", "", -1)]
+    assert pages.boxes(htmlparse.blocks("<nav><li>a b<li>c</nav><p>x y<article>m</article><p>z<div id=my-ad>q</div>")) == [("nav", 1, 5), ("outside", 6, 8), ("outside", 9, 10), ("ad", 11, 12)]
+
+
+def plain_pages(rows, length=8, judged=100, share=0.01):
+    """Extraction with all substrings of each host in a dict, no array, no chunks."""
+    found = {k: htmlparse.blocks(h) for k, _, h in rows}
+    host = {k: re.sub(r"^\w+://([^/]*).*", r"\1", u) for k, u, _ in rows}
+    words, held = {}, defaultdict(set)
+    main = {k: tuple(x.text for x in b if x.mark == 0) or tuple(x.text for x in b) for k, b in found.items()}
+    for k, b in found.items():
+        words[k] = [w for x in b if x.mark != 0 for w in ("\0", *x.text.split(" "))]
+        for i in range(len(words[k]) - length + 1):
+            held[host[k], tuple(words[k][i : i + length])].add(main[k])
+    cover = {k: {j for i in range(len(w) - length + 1) if len(held[host[k], tuple(w[i : i + length])]) > 1 for j in range(i, i + length)} for k, w in words.items()}
+    places, n, hits = {}, Counter(), Counter()
+    many = defaultdict(set)
+    for k in found:
+        many[host[k]].add(main[k])
+    for k, b in found.items():
+        at, places[k], each = 0, [], defaultdict(list)
+        for x in b:
+            if x.mark != 0:
+                places[k].append(range(at + 1, at + 1 + len(x.text.split(" "))))
+                if x.mark == 1:
+                    each[x.kind, x.box].append(places[k][-1])
+                at = places[k][-1].stop
+            else:
+                places[k].append(range(0))
+        places[k, "boxes"] = {x: range(r[0].start, r[-1].stop) for x, r in each.items()}
+        for (kind, _), r in places[k, "boxes"].items():
+            if len(many[host[k]]) > 1 and len(r) >= length:
+                n[kind] += 1
+                hits[kind] += any(all(j in cover[k] for j in range(i, i + length)) for i in range(r.start, r.stop - length + 1))
+    goes = {kind: hits[kind] >= share * c if c >= judged and kind not in pages.BY_NATURE else True for kind, c in n.items()}
+    out = {}
+    for k, b in found.items():
+        text = []
+        for x, r in zip(b, places[k], strict=True):
+            if x.mark == 1:
+                box = places[k, "boxes"][x.kind, x.box]
+                need = min(length, len(box))
+                if goes.get(x.kind, True) or any(all(j in cover[k] for j in range(i, i + need)) for i in range(box.start, box.stop - need + 1)):
+                    continue
+            w = x.text.split(" ")
+            if x.mark != 0:
+                gone = [j in cover[k] for j in r]
+                runs = [list(g) for _, g in itertools.groupby(range(len(w)), key=gone.__getitem__)]
+                w = [w[j] for run in runs for j in run if not gone[j] or (len(run) < length and len(run) < len(w))]
+            if w:
+                text.append(" ".join(w))
+        out[k] = " ".join(text)
+    return out
+
+
+def site(rng, n):
+    """Pages of three hosts: menus and footers of a small stock, one sidebar a page that is unique, comments, and pages without marks."""
+    stock = [prose(rng, 14) for _ in range(6)]
+    out = []
+    for i in range(n):
+        article = f"<h1>T{i}</h1><p>{prose(rng, 40)}</p>" + (f"<p>{stock[0]}</p>" if i % 5 == 0 else "")
+        around = f"<nav>{rng.choice(stock) if i % 3 else prose(rng, 12)}</nav><div class=ad>{rng.choice(stock[:3]) if i % 4 else prose(rng, 9)}</div>"
+        own = f"<aside>{prose(rng, 20)}</aside><section class=comments>{prose(rng, 15)}</section>"
+        page = f"<body>{around}<article>{article}</article>{own}<p>{prose(rng, 10)}</p>" if i % 6 else f"<body><div>{stock[1]}</div><div>{article}</div><div>{stock[2]}</div>"
+        out.append((i, f"http://h{i % 3}.example/{i}", page))
+    return out
+
+
+def test_html_against_plain(spark):
+    rows = site(random.Random(22), 240)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_pages(rows)
+    got = {r.page_id: r.text for r in pages.extract_pages(df).collect()}
+    assert got == want
+    assert {r.page_id: r.text for r in pages.extract_pages(df, chunk_tokens=300).collect()} == want
+    for i, _, page in rows:
+        article = re.search("<article>(.*)</article>|<div>(<h1>.*?)</div>", page)
+        blocks = [x for x in re.split("<[^>]*>", article[1] or article[2]) if x]
+        if i % 6:
+            assert all(" ".join(x.split()) in got[i] for x in blocks), "copied passages stay in articles"
+
+
+def test_html_without_the_array(spark, monkeypatch):
+    """What the array finds decides the text of most pages of hosts with boilerplate."""
+    df = spark.createDataFrame(site(random.Random(23), 240), "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(df).collect()}
+    monkeypatch.setattr(pages, "boilerplate", lambda *a, old=pages.boilerplate: old(*a).withColumn("spans", F.array().cast("array<int>")))
+    off = {r.page_id: r.text for r in pages.extract_pages(df).collect()}
+    assert sum(off[i] != got[i] for i in got) > 0.9 * len(got)
 
 
 def test_packing(spark, path, odd):
