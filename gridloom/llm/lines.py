@@ -36,21 +36,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
     Null or empty text is one empty line and gives empty text. A row without doc_id counts for no
     key and loses its lines with frequent keys, as it is not the keeper. Rows that share a doc_id
     count once; the keeper's rows all keep their lines, repeats inside a text included. All other
-    columns stay; `n_lines` and `n_dropped` of the input, if any, are replaced.
+    columns stay, names that begin with _line_dedup_ excepted; `n_lines` and `n_dropped` of the input, if any, are replaced.
     """
     d = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     lines = written(line_places(d, text, min_chars), "lines")
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)))
     often = frequent_lines(lines, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     hit = salted.join(often, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = hit.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t"))
+    drops = hit.groupBy(F.col("doc_id").alias("_line_dedup_id"), F.col("t").alias("_line_dedup_text")).agg(F.collect_set("pos").alias("_line_dedup_drop"))
+    on = F.col("doc_id").eqNullSafe(F.col("_line_dedup_id")) & (F.xxhash64(text) == F.col("_line_dedup_text"))
     out = d.join(drops, on, "left")
     split = F.split(F.col(text), "\n", -1)
 
     def kept(ls: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drop"))
-        return F.struct(F.size(ls).cast("bigint").alias("n"), F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")).alias("text"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_line_dedup_drop"))
+        return F.struct(F.size(ls).cast("bigint").alias("n"), F.when(F.col("_line_dedup_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")).alias("text"))
 
-    out = out.withColumn("_kept", let(split, kept))
-    return out.withColumns({"n_lines": F.col("_kept")["n"], "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"), text: F.col("_kept")["text"]}).drop("_id", "_t", "_drop", "_kept")
+    out = out.withColumn("_line_dedup_kept", let(split, kept))
+    return out.withColumns({"n_lines": F.col("_line_dedup_kept")["n"], "n_dropped": F.coalesce(F.size("_line_dedup_drop"), F.lit(0)).cast("bigint"), text: F.col("_line_dedup_kept")["text"]}).drop("_line_dedup_id", "_line_dedup_text", "_line_dedup_drop", "_line_dedup_kept")

@@ -105,8 +105,8 @@ def _score(rule: Rule, rows: list) -> tuple[int, int]:
     return sum(hit), len(hit) - sum(hit)
 
 
-def _grown(rows: list, names: tuple[str, ...], max_tests: int, cuts: int) -> Rule:
-    """Adds the test with the largest information gain for the rejected class until none is of use."""
+def _grown(rows: list, names: tuple[str, ...], max_tests: int, cuts: int, barred: set[tuple[str, bool]]) -> Rule:
+    """Adds the test with the largest information gain for the rejected class until none is of use. The first test is none of the `barred` kinds (feature, is it >=)."""
     from math import log2
 
     tests: list[tuple[str, bool, float]] = []
@@ -126,7 +126,7 @@ def _grown(rows: list, names: tuple[str, ...], max_tests: int, cuts: int) -> Rul
                 if v != last and seen >= step and last is not None:
                     seen, cut = 0, (v + last) / 2
                     for up, p, n in ((False, below[0], below[1]), (True, total[0] - below[0], total[1] - below[1])):
-                        if p and (gain := p * (log2(p / (p + n)) - now)) > best[0]:
+                        if p and (tests or (f, up) not in barred) and (gain := p * (log2(p / (p + n)) - now)) > best[0]:
                             best = (gain, (f, up, cut))
                 below[1 - y] += 1
                 seen += 1
@@ -143,12 +143,15 @@ def learn(rows: list[tuple[dict[str, float], int]], names: tuple[str, ...] = FEA
 
     Two thirds of the rows grow a rule, one third prunes its tests from the end; a rule stays if, on
     each of the two parts, it is right for `min_precision` of the rows it rejects (smoothed on the
-    pruning part), so that good documents are left alone. Rows must come in a fixed order. No rows, or one class: an empty list, which keeps all.
+    pruning part), so that good documents are left alone. Where a rule doesn't stay, the search goes on with rules
+    that begin with a test of another kind, until none is left. Rows must come in a fixed order. No rows, or one
+    class: an empty list, which keeps all.
     """
     rules: list[Rule] = []
     grow, prune = [r for i, r in enumerate(rows) if i % 3], rows[::3]
+    barred: set[tuple[str, bool]] = set()
     while len(rules) < max_rules and sum(y for _, y in grow) >= min_cover:
-        rule = _grown(grow, names, max_tests, cuts)
+        rule = _grown(grow, names, max_tests, cuts, barred)
         if not rule.tests:
             break
 
@@ -159,8 +162,10 @@ def learn(rows: list[tuple[dict[str, float], int]], names: tuple[str, ...] = FEA
         best = max((Rule(rule.tests[:k]) for k in range(1, len(rule.tests) + 1)), key=lambda r: (round(worth(r), 3), -len(r.tests)))
         (p, n), (pg, ng) = _score(best, prune), _score(best, grow)
         if pg < min_cover or pg / (pg + ng) < min_precision or (p + 1) / (p + n + 1) < min_precision:
-            break
+            barred.add(rule.tests[0][:2])
+            continue
         rules.append(best)
+        barred.clear()
         grow = [(x, y) for x, y in grow if not best.holds(x)]
         prune = [(x, y) for x, y in prune if not best.holds(x)]
     return rules
@@ -173,10 +178,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_R
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~base_failed(F.col("stat")))
+    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
     cols = features(F.col("stat"))
-    found = stats.select("doc_id", "label", F.xxhash64("doc_id").alias("at"), *[c.alias(k) for k, c in cols.items()]).collect()
-    found.sort(key=lambda r: (r["at"], r["doc_id"], tuple(r[k] for k in cols)))
+    # who fails the base test is dropped here: as a filter, the test would be pushed below the join and made for all documents
+    found = stats.select("doc_id", "label", F.xxhash64("doc_id").alias("at"), base_failed(F.col("stat")).alias("failed"), *[c.alias(k) for k, c in cols.items()]).collect()
+    found = sorted((r for r in found if not r["failed"]), key=lambda r: (r["at"], r["doc_id"], tuple(r[k] for k in cols)))
     return [({k: r[k] for k in cols}, int(r["label"] == 0)) for r in found]
 
 
@@ -189,7 +195,12 @@ def verdict(rules: list[Rule], s: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with `stat`, `base_failed` and `kept`; the list is learned from `labels` of `docs`."""
+    """`docs` with `stat`, `base_failed` and `kept`; the list is learned from `labels` (doc_id, quality) of `docs`.
+
+    Null and empty texts have no words and fail the base test. Every row is judged by itself: repeated rows and rows
+    without id too. No rows: no rows. All other columns stay; `stat`, `base_failed` and `kept` of the input, if any,
+    are replaced.
+    """
     rules = learn(labelled_sample(docs, labels, max_rows))
     out = statistics(docs)
     return out.withColumn("base_failed", base_failed(F.col("stat"))).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules, F.col("stat"))))

@@ -69,25 +69,40 @@ def follow_up(docs: DataFrame) -> DataFrame:
 
     The last row of each range, extra = 1, repeats the first row after it, in the last range the very first
     row; so a lead within a range sees every document's successor. Bounds come from COARSE quantiles and the
-    least and largest id, the only values that go to the driver.
+    least and largest id, the only values that go to the driver. Rows without id, and rows of an id that holds
+    several quantiles, are cut into ranges by h.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     at = [i / COARSE for i in range(1, COARSE)]
-    found = d.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("q")).first()
+    found = d.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("q")).first()
     lo, hi = (found["lo"], found["hi"]) if found["lo"] is not None else (0, 0)
-    ends = sorted({x for x in found["q"] or [] if lo < x <= hi})
-    fine = max(1, -(-found["n"] // (ROWS * (len(ends) + 1))))
-    starts, stops = F.array(*[F.lit(x).cast("bigint") for x in [lo, *ends]]), F.array(*[F.lit(x).cast("bigint") for x in [*ends, hi + 1]])
-    coarse = F.size(F.filter(starts, lambda x: x <= F.col("doc_id"))) - 1
-    span = lambda c: F.floor((F.col("doc_id") - F.get(starts, c)) * F.lit(float(fine)) / (F.get(stops, c) - F.get(starts, c)))
-    b = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(let(coarse, lambda c: c * fine + F.least(span(c), F.lit(fine - 1)))).cast("bigint")
-    ranged = d.select(b.alias("b"), F.lit(0).alias("extra"), "doc_id", F.xxhash64("text").alias("h"), "text")
+    cuts = [x for x in found["q"] or [] if lo <= x <= hi]
+    hot = {x for x in cuts if cuts.count(x) > 1}  # an id of so many rows has ranges of its own, by the hash of the text
+    starts = sorted({lo, *(x for x in cuts if x > lo), *hot, *(x + 1 for x in hot if x < hi)})
+    stops = [*starts[1:], hi + 1]
+    rows = -(-found["ids"] // COARSE)
+    parts = [max(1, -(-rows * max(1, cuts.count(x) if x in hot else 1) // ROWS)) for x in starts]
+    before = [sum(parts[:i]) for i in range(len(parts))]
+    none = max(1, -(-(found["n"] - found["ids"]) // ROWS))
+    numbers = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+    share = F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+    def place(c: Column) -> Column:
+        first, stop, n = F.get(numbers(starts), c), F.get(numbers(stops), c), F.get(numbers(parts), c)
+        part = F.when(F.array_contains(numbers(hot), F.col("doc_id")) if hot else F.lit(False), share).otherwise((F.col("doc_id") - first) / (stop - first))
+        return F.get(numbers(before), c) + F.least(F.floor(part * n), n - 1)
+
+    coarse = F.size(F.filter(numbers(starts), lambda x: x <= F.col("doc_id"))) - 1
+    b = F.when(F.col("doc_id").isNull(), F.least(F.floor(share * none), F.lit(none - 1)) - none).otherwise(let(coarse, place)).cast("bigint")
+    #: A range is some ROWS rows; a task takes two or so, however many there are.
+    tasks = max(1, (sum(parts) + none) // 2)
+    ranged = d.select(b.alias("b"), F.lit(0).alias("extra"), "doc_id", "h", "text")
     first = ranged.groupBy("b").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     by = Window.orderBy("b")  # a row for each range
     after = first.select("b", F.coalesce(F.lead("first").over(by), F.first("first").over(by)).alias("s")).select("b", "s.doc_id", "s.h")
     texts = ranged.select("doc_id", "h", "text").alias("t").join(F.broadcast(after.select("doc_id", "h").distinct()).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.h") == F.col("w.h")), "left_semi").dropDuplicates(["doc_id", "h"])
     extra = after.alias("a").join(texts.alias("t"), F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.h") == F.col("t.h"))).select("a.b", F.lit(1).alias("extra"), "a.doc_id", "a.h", "t.text")
-    return ranged.unionByName(extra)
+    return ranged.unionByName(extra).repartition(tasks, "b")
 
 
 def edited_fingerprints(docs: DataFrame, size: int = SKETCH_SIZE, k: int = SHINGLE_WORDS) -> DataFrame:

@@ -54,7 +54,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: in
 def write_tokens(docs: DataFrame, folder: str, path: str, kind: str, end_id: int, row_group: int = ROW_GROUP, page: int = PAGE) -> None:
     """Encodes `docs` (doc_id, text) and writes the files. Rows of one id follow a hash of the text; rows without id come first."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ranged = d.repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc(), F.xxhash64("text"))
+    order = F.col("doc_id").asc(), F.xxhash64("text")  # the hash cuts rows of one id, or of none
+    ranged = d.repartitionByRange(*order).sortWithinPartitions(*order)
     out = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(lambda b: _encoded(b, path, kind, end_id), SCHEMA)
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "start_in_part", "n_tokens")}
     out.write.options(**{"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": "true", **CHECKS}, **plain).parquet(folder)

@@ -45,7 +45,7 @@ def test_line_dedup(spark, odd):
     pool = [prose(rng, 8) for _ in range(12)] + ["short", "É" * 20, "é" * 20, "  Trimmed line that is long enough \t"]
     rows = [(i, "\n".join(rng.choice((str.upper, str, str.lower))(x) for x in rng.choices(pool, k=rng.randint(1, 6)))) for i in range(40)]
     rows += [(100 + i, t) for i, t in enumerate(odd)] + [(3, rows[3][1]), (None, rows[5][1]), (39, "another text\n" + pool[0])]
-    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash"))
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("n_lines", "_id", "_t", "_drop", "_kept", "h1", "salt", "keeper", "pos")})
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(df).collect()), key=repr)
     assert got == plain_lines(rows)
     assert lines.dedup_lines(df.limit(0)).count() == 0
@@ -439,6 +439,20 @@ def test_fingerprints(spark, odd):
     assert sketch.edited_fingerprints(twice).count() == 5
 
 
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """Half of the rows without id or of one id: many small ranges give what one range gives."""
+    rng = random.Random(26)
+    rows = [(None, prose(rng, 8)) for _ in range(60)] + [(7, prose(rng, 8)) for _ in range(90)] + [(i, prose(rng, 8)) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    one = sorted(sketch.edited_fingerprints(df).collect(), key=key)
+    monkeypatch.setattr(sketch, "ROWS", 4)
+    monkeypatch.setattr(sketch, "COARSE", 16)
+    assert sorted(sketch.edited_fingerprints(df).collect(), key=key) == one and len(one) == len(rows)
+    sizes = sorted(r["count"] for r in sketch.follow_up(df).groupBy("b").count().collect())
+    assert sizes[-1] < 30
+
+
 def test_sketch_estimates(spark):
     rng = random.Random(10)
     a = [f"w{i}" for i in range(3000)]
@@ -517,6 +531,30 @@ def test_quality_list(spark):
     assert quality.judged(table(spark, texts).limit(0), labels).count() == 0
 
 
+def test_quality_list_goes_on():
+    """A first rule that isn't precise enough doesn't end the search."""
+    rng = random.Random(27)
+    rows = []
+    for _ in range(900):
+        bad = rng.random() < 0.3
+        row = {f: rng.random() for f in quality.FEATURES}
+        row["mean_word"] = rng.random() + (0.8 if bad else 0.0)  # the most telling, but never sure enough
+        row["repeat_rate"] = 2.0 if bad and rng.random() < 0.3 else rng.random()
+        rows.append((row, int(bad)))
+    rules = quality.learn(rows)
+    hit = [y for x, y in rows if any(r.holds(x) for r in rules)]
+    assert rules and sum(hit) >= 0.97 * len(hit) > 50
+
+
+def test_quality_odd_tables(spark, odd):
+    df = table(spark, [*odd, "a b c d e f g h i j k l"]).withColumns({"stat": F.lit("x"), "kept": F.lit(3), "base_failed": F.lit(None).cast("int"), "w": F.lit(1)})
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality.judged(df.unionByName(df), labels).collect()
+    assert len(out) == 2 * (len(odd) + 1) and all(r.kept != r.base_failed and r.w == 1 for r in out)
+    assert all(r.base_failed for r in out if not (r.text or "").strip())
+    assert sum(r.kept for r in out if r.doc_id == len(odd)) == 2
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, t in rows:
