@@ -45,22 +45,43 @@ def shared_folder(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: Folders of written tables, and the sessions that made them.
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _TABLES.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables of written() that nothing will read again."""
     for t in tables:
         if t is not None:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(t._folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(t.sparkSession, t._folder)
+
+
+def only(before: int, keep: DataFrame) -> None:
+    """Deletes what written() has made since it had made `before` tables, but for `keep`."""
+    for spark, folder in _TABLES[before:]:
+        if folder != keep._folder:
+            _delete(spark, folder)
+    _TABLES[before:] = [x for x in _TABLES[before:] if x[1] == keep._folder]
+
+
+def made() -> int:
+    """How many tables written() has made."""
+    return len(_TABLES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

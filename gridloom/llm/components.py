@@ -31,5 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = edges.select("u", "v")
+    roots = edges.select("u", "v")  # its table stays: what is returned reads it
     return roots.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct())

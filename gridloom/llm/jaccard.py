@@ -39,6 +39,8 @@ SEEDS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93)
 FULL_RATIO, LEADER_ROUNDS = 2, 16
 #: Leaders are given up as well when less than this share of a round's pairs links.
 FRUITFUL_PERCENT = 5
+#: A token's rows are paired in full block by block, of about so many rows each, so that a frequent token is many tasks' work.
+BLOCK_ROWS = 2048
 #: 64-bit words of a bitmap.
 BITMAP_WORDS = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
@@ -181,6 +183,7 @@ class _Join:
         prefix = written(self.prefixes().join(self.node.select("doc_id", *BITS), "doc_id"), "prefixes")
         size = prefix.count()
         links = done = merged = None
+        over: list[DataFrame] = [prefix]
         fruitful = True
         for turn in range(LEADER_ROUNDS + 1):
             own = prefix.withColumn("root", F.col("doc_id")) if merged is None else prefix.join(merged, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -192,29 +195,34 @@ class _Join:
             last = work <= FULL_RATIO * size or turn == LEADER_ROUNDS or not fruitful
             if last:
                 # tokens of one component are gone, so a group of near copies that leaders have joined makes no pairs here
-                rest = own.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "full", "mid", "root", *BITS)
-                x, y = rest.alias("x"), rest.alias("y")
+                blocks = open_.select("token", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+                rest = own.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+                row, each = ["token", "doc_id", "n", "full", "mid", "root", *BITS], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+                x, y = rest.select(*row, F.col("mine").alias("i"), each.alias("j")).alias("x"), rest.select(*row, each.alias("i"), F.col("mine").alias("j")).alias("y")
                 c = lambda t, *names: [F.col(f"{t}.{i}") for i in names]
-                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & self.may(*c("x", "n", "full", "mid"), *c("y", "n", "full", "mid")) & self.alike("x", "y"))
+                pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & self.may(*c("x", "n", "full", "mid"), *c("y", "n", "full", "mid")) & self.alike("x", "y"))
                 pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
             else:
                 ahead = own.alias("x").join(open_.select("token", "lead"), "token").where((F.col("root") != F.col("lead.root")) & self.may(F.col("n"), F.col("full"), F.col("mid"), F.col("lead.n"), F.col("lead.full"), F.col("lead.mid")) & self.alike("x", "lead"))
                 pairs = ahead.select(F.least("x.doc_id", "lead.doc_id").alias("a"), F.greatest("x.doc_id", "lead.doc_id").alias("b"))
             pairs = pairs.distinct()
             pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+            over.append(pairs)
             tried = pairs.count()
             fruitful = False
             if tried:
                 found = self.linked(pairs)
                 done = pairs if done is None else done.unionByName(pairs)
+                over.append(found)
                 hits = found.count()
                 fruitful = 100 * hits >= FRUITFUL_PERCENT * tried
                 if hits:
                     links = found if links is None else links.unionByName(found)
-                    merged = written(components(links), "roots")
+                    old, merged = merged, written(components(links), "roots")
+                    forget(old)
             if last:
                 break
-        forget(prefix)
+        forget(*over)
         if merged is None:
             return self.member.select("doc_id", F.col("node").alias("component_id"))
         roots = self.member.join(merged.select(F.col("doc_id").alias("node"), "root"), "node", "left")

@@ -592,13 +592,17 @@ def test_jaccard(spark, odd, k, percent):
     want = plain_components(rows, k, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, percent).collect()}
     assert got == want and len({c for _, c in want.values()}) < len(want)
-    old = jaccard.FULL_RATIO
+    old, size = jaccard.FULL_RATIO, jaccard.BLOCK_ROWS
     try:
+        jaccard.BLOCK_ROWS, jaccard.LEADER_ROUNDS = 2, 0  # all pairs at once, in small blocks
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, percent).collect()}
+        assert got == want
+        jaccard.BLOCK_ROWS, jaccard.LEADER_ROUNDS = size, 16
         jaccard.FULL_RATIO = 0  # leaders first
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, percent).collect()}
         assert got == want
     finally:
-        jaccard.FULL_RATIO = old
+        jaccard.FULL_RATIO, jaccard.BLOCK_ROWS, jaccard.LEADER_ROUNDS = old, size, 16
 
 
 def test_jaccard_odd_tables(spark):
@@ -688,14 +692,66 @@ def test_nbest_ids(spark, path):
     assert all(r.text == texts[r.doc_id] for r in nbest.decode_pieces(rows, model).collect()), "every rank decodes to the text"
 
 
-def test_pipeline(spark):
-    import __spark_entry__
+def test_pipeline(spark, odd):
+    """Each stage against a plain version of it, on its own input: the tables of sf0.001, repeated and odd rows among them."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    more = [(10_000 + i, t, None, None, None) for i, t in enumerate(odd)] + [(20_000, "repeated row " * 4, "en", "s", 1)] * 2
+    docs = corpus_pipeline.written(whole.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(more, whole.select(*corpus_pipeline.COLUMNS).schema)), "start")
+    stages = dict(corpus_pipeline.STAGES)
+    row = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+
+    kept = corpus_pipeline.written(stages["quality_rules"](spark, docs, folder), "quality")
+    rules = quality.learn(quality.labelled_sample(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+    def good(t):
+        n, chars, symbols, dups, repeats = plain_stats(t)
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        per = lambda a, b: a / b if b else 0.0
+        x = {"n_words": n, "mean_word": per(chars, n), "symbol_rate": per(symbols, n), "dup_line_rate": per(dups, len(lines)), "repeat_rate": per(repeats, n), "line_words": per(n, len(lines))}
+        return n >= 10 and 100 * repeats <= 20 * n and not any(r.holds(x) for r in rules)
+
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert row(kept) == sorted(((i, t) for i, t in row(docs) if good(t)), key=repr) and kept.count() > 100
+
+    cut = corpus_pipeline.written(stages["line_dedup"](spark, kept, folder), "lines")
+    assert cut.columns == list(corpus_pipeline.COLUMNS)
+    assert row(cut) == sorted(((i, t) for i, _, _, t in plain_lines(row(kept))), key=repr)
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+
+    one = corpus_pipeline.written(stages["ngram_jaccard"](spark, cut, folder), "near")
+    roots = plain_components(row(cut), 5, 80)
+    assert one.columns == list(corpus_pipeline.COLUMNS)
+    assert row(one) == [(i, t) for i, t in row(cut) if roots[i][1] == i] and one.count() < cut.count()
+
+    bins, sizes = defaultdict(list), {}
+    for r in stages["best_fit_packing"](spark, one, folder).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in row(one):
+        want[i] += len(lib.encode(t, add_special_tokens=False).ids) + 1
+    assert sizes == want
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+    got = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got and got <= {r.doc_id for r in whole.collect()}
+
+
+def test_pipeline_stages_of_empty_tables(spark):
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
-        assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() > 50
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert {r.doc_id for r in __spark_entry__.queries()["pipeline"](spark, folder).collect()} == ids
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
