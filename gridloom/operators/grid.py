@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .storage import saved
 
 
 @dataclass(frozen=True)
@@ -127,29 +128,47 @@ def nearest_cell(rows: DataFrame, cells: DataFrame, radius: int, key: str = "id"
 
 
 def nearest_of(rows: DataFrame, others: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
-    """(a: row, b: the nearest of `others`, d) of every row: cells and reach double until each row has one. Ties: the smaller key of b."""
-    found, left, scale = None, rows, 1
-    while not left.isEmpty() and not others.isEmpty():
+    """(a: row, b: the nearest of `others`, d) of every row: cells and reach grow fourfold until each row has one. Ties: the smaller key of b.
+
+    Rows and others without coordinates have no neighbour: they are left out, as all rows are if `others` has none.
+    Each turn's rest is written, and turns end when cells are wider than the earth.
+    """
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    left, others = rows.where(placed), others.where(placed)
+    found, scale = None, 1
+    while True:
         wide = Grid(grid.lat0, grid.lon0, grid.dlat * scale, grid.dlon * scale, grid.metres * scale)
         near = near_join(left, others, wide, wide.metres)
-        best = near.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", f"b.{key}")).alias("m")).select("a", "m.b", "m.d")
+        best = saved(near.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", f"b.{key}")).alias("m")).select("a", "m.b", "m.d"))
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(F.col(f"a.{key}").alias(key)), key, "left_anti")
+        left = saved(left.join(best.select(F.col(f"a.{key}").alias(key)).distinct(), key, "left_anti"))
+        if left.isEmpty() or wide.metres > 2 * geo.EARTH * 3.15:
+            return found
         scale *= 4
-    if found is None:
-        d = near_join(rows, others, grid, grid.metres)
-        return d.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", f"b.{key}")).alias("m")).select("a", "m.b", "m.d")
-    return found
 
 
-def locate(rows: DataFrame, areas: DataFrame) -> DataFrame:
-    """rows (lat, lon) with `area`, the lowest of `areas` (area, ring) that holds the point, -1 if none does.
+def holding(spots: DataFrame, areas: DataFrame, grid: Grid) -> DataFrame:
+    """(lat, lon, area) of distinct `spots` and every one of `areas` (area, ring) that holds them.
 
-    Only areas whose box holds the point are tested. Areas are broadcast behind Spark's own size check; a range
-    join otherwise.
+    An area lies on the level whose cells, 2 ** level times the grid's, are as wide as its box, so it covers four of
+    them at most; a spot is looked up once on each level there is. An equi-join on level and cell, whatever the number of
+    areas, with the box and the ring as residuals. Areas without ring, and spots without coordinates, are in none.
     """
-    boxes = areas.select("area", "ring", *[f(F.col(f"ring.{k}")).alias(f"{n}_{k}") for k in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    ends = {f"{n}_{k}": f(F.col(f"ring.{k}")) for k in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))}
+    boxes = areas.where(F.size("ring") > 0).select("area", "ring", *[c.alias(n) for n, c in ends.items()])
+    wide = F.greatest((F.col("hi_lat") - F.col("lo_lat")) / grid.dlat, (F.col("hi_lon") - F.col("lo_lon")) / grid.dlon, F.lit(1.0))
+    boxes = boxes.withColumn("level", F.ceil(F.log2(wide)).cast("int"))
+    cell = lambda c, origin, size: F.floor((c - F.lit(origin)) / (F.lit(size) * F.pow(F.lit(2.0), F.col("level"))))
+    span = lambda k, origin, size: F.explode(F.sequence(cell(F.col(f"lo_{k}"), origin, size), cell(F.col(f"hi_{k}"), origin, size)))
+    cover = boxes.withColumn("y", span("lat", grid.lat0, grid.dlat)).withColumn("x", span("lon", grid.lon0, grid.dlon))
+    levels = [r[0] for r in boxes.select("level").distinct().collect()]  # some thirty at most
+    at = spots.select("lat", "lon").where("lat is not null and lon is not null").distinct().withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    at = at.withColumn("y", cell(F.col("lat"), grid.lat0, grid.dlat)).withColumn("x", cell(F.col("lon"), grid.lon0, grid.dlon))
     inside = (F.col("lat") >= F.col("lo_lat")) & (F.col("lat") <= F.col("hi_lat")) & (F.col("lon") >= F.col("lo_lon")) & (F.col("lon") <= F.col("hi_lon")) & geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))
-    hit = rows.join(boxes, inside, "left")
-    keys = rows.columns
-    return hit.groupBy(*keys).agg(F.coalesce(F.min("area"), F.lit(-1)).alias("area"))
+    return at.join(cover, ["level", "x", "y"]).where(inside).select("lat", "lon", "area")
+
+
+def locate(rows: DataFrame, areas: DataFrame, grid: Grid) -> DataFrame:
+    """rows (lat, lon) with `area`, the lowest of `areas` (area, ring) that holds the point, -1 if none does or a coordinate is null. Repeated rows stay repeated."""
+    best = holding(rows, areas, grid).groupBy("lat", "lon").agg(F.min("area").alias("area"))
+    return rows.join(best, ["lat", "lon"], "left").withColumn("area", F.coalesce("area", F.lit(-1))).select(*rows.columns, "area")

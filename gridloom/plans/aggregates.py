@@ -51,7 +51,7 @@ def a05_bearing(v):
 
 
 _VOTES = """SELECT vec_id, round(round(x * cos(radians(t::DOUBLE)) + y * sin(radians(t::DOUBLE)), 9))::INT AS rho, t::INT AS theta, sum(CASE WHEN v * 300 > 80 THEN 10 ELSE 1 END)::BIGINT AS votes
-FROM v_cam, (SELECT unnest(range(-90, 91)) AS t) WHERE v * 300 > 10 AND vec_id < 100 GROUP BY 1, 2, 3"""
+FROM v_cam, (SELECT unnest(range(-90, 91)) AS t) WHERE v * 300 > 10 GROUP BY 1, 2, 3"""
 
 
 def _votes(cams):
@@ -60,22 +60,11 @@ def _votes(cams):
 
 @query(_VOTES)
 def a06_hough_votes(v):
-    return _votes(v.embeddings.where("vec_id < 100"))
-
-
-@query()
-def a06_hough_votes_all(v):
-    """a06 on all images; its SQL names the first hundred."""
     return _votes(v.embeddings)
 
 
 @query(f"SELECT vec_id, rho, theta, votes FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, rho, theta) AS k FROM ({_VOTES})) WHERE k = 1")
 def a07_hough_peak(v):
-    return cam.peaks(_votes(v.embeddings.where("vec_id < 100")), "vec_id")
-
-
-@query()
-def a07_hough_peak_all(v):
     return cam.peaks(_votes(v.embeddings), "vec_id")
 
 
@@ -243,10 +232,40 @@ def gaps(v):
     return marks(v).where("kind < 2").select("way", "id", F.col("length").alias("a"), F.lead("length").over(w).alias("b")).where("b is not null")
 
 
-@query(_GAPS + ", n AS (SELECT *, CASE WHEN (b - a) / 2 <= 70 THEN 2 WHEN (b - a) / 3 <= 70 THEN 3 WHEN (b - a) / 4 <= 70 THEN 4 WHEN (b - a) / 5 <= 70 THEN 5 END AS n FROM g WHERE b - a > 70) SELECT way, id, k::INT AS k, round(a + k * (b - a) / n, 3) AS at FROM n, LATERAL (SELECT unnest(range(1, n)) AS k) WHERE n IS NOT NULL")
+def road_poles(v, kinds="kind < 2"):
+    """(way, id, length, lat, lon): marks of ways, at their length modulo the way's, a few metres beside the road."""
+    s = linear.measured(g.segments(v.v_way)).where("len > 0")
+    size = s.groupBy("way").agg(F.sum("len").alias("all"))
+    m = marks(v).where(kinds).join(size, "way").select("way", "id", (F.col("length") % F.col("all")).alias("at"))
+    beside = F.lit(0.00002) * (F.col("id") % 3)
+    return linear.place_at(s, m).select("way", "id", F.col("at").alias("length"), (F.col("lat") + beside).alias("lat"), (F.col("lon") - beside).alias("lon"))
+
+
+def road_gaps(poles):
+    """(way, id, a, b, p, q) of neighbouring poles of a way; id is the first one's."""
+    w = Window.partitionBy("way").orderBy("length", "id")
+    here = F.struct("lat", "lon")
+    return poles.select("way", "id", F.col("length").alias("a"), F.lead("length").over(w).alias("b"), here.alias("p"), F.lead(here).over(w).alias("q")).where("b is not null")
+
+
+_D = lambda a, b, c, d: f"(6378000.0 * sqrt(radians({a} - {c}) ** 2 + (radians({b} - {d}) * cos(radians(({a} + {c}) / 2))) ** 2))"
+
+
+@query(f"""WITH e AS (SELECT way, nid, lat AS y1, lon AS x1, lead(lat) OVER w AS y2, lead(lon) OVER w AS x2 FROM v_way WINDOW w AS (PARTITION BY way ORDER BY nid)),
+l AS (SELECT *, {_D('y1', 'x1', 'y2', 'x2')} AS len FROM e WHERE y2 IS NOT NULL),
+s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY way ORDER BY nid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l WHERE len > 0),
+m AS ({_POS}), t AS (SELECT way, sum(len) AS total FROM s GROUP BY way),
+u AS (SELECT m.way, m.id, m.length % t.total AS pos FROM m JOIN t ON m.way = t.way WHERE kind < 2),
+p AS (SELECT u.way, u.id, u.pos, y1 + (y2 - y1) * (u.pos - before) / len + 0.00002 * (u.id % 3) AS lat, x1 + (x2 - x1) * (u.pos - before) / len - 0.00002 * (u.id % 3) AS lon FROM u JOIN s ON u.way = s.way AND before <= u.pos AND before + len > u.pos),
+g AS (SELECT way, id, pos AS a, lead(pos) OVER w AS b, lat AS py, lon AS px, lead(lat) OVER w AS qy, lead(lon) OVER w AS qx FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, id)),
+c AS (SELECT g.*, n, k, a + k * (b - a) / n AS pos FROM g, (SELECT unnest(range(2, 6)) AS n) nn, LATERAL (SELECT unnest(range(1, n)) AS k) kk WHERE b IS NOT NULL AND {_D('py', 'px', 'qy', 'qx')} > 70),
+i AS (SELECT c.*, y1 + (y2 - y1) * (c.pos - before) / len AS y, x1 + (x2 - x1) * (c.pos - before) / len AS x FROM c JOIN s ON c.way = s.way AND before <= c.pos AND before + len > c.pos),
+h AS (SELECT *, CASE WHEN k = 1 THEN {_D('py', 'px', 'y', 'x')} ELSE {_D('lag(y) OVER w', 'lag(x) OVER w', 'y', 'x')} END AS d1, CASE WHEN k = n - 1 THEN {_D('y', 'x', 'qy', 'qx')} ELSE 0 END AS d2 FROM i WINDOW w AS (PARTITION BY way, id, n ORDER BY k)),
+f AS (SELECT way, id, min(n) AS n FROM (SELECT way, id, n FROM h GROUP BY way, id, n HAVING max(greatest(d1, d2)) <= 70 AND count(*) = n - 1) GROUP BY way, id)
+SELECT h.way, h.id, h.k::INT AS k, round(h.pos, 3) AS at, round(h.y, 6) AS lat, round(h.x, 6) AS lon FROM h JOIN f ON h.way = f.way AND h.id = f.id AND h.n = f.n""")
 def w08_insert(v):
-    cuts = linear.insertions(gaps(v).withColumn("d", F.col("b") - F.col("a")))
-    return cuts.select("way", "id", F.posexplode("cuts").alias("k", "at")).select("way", "id", (F.col("k") + 1).alias("k"), F.round("at", 3).alias("at"))
+    new = linear.insertions(road_gaps(road_poles(v)), linear.measured(g.segments(v.v_way)).where("len > 0"))
+    return new.select("way", "id", "k", F.round("at", 3).alias("at"), r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -46,16 +48,17 @@ def g04_match(v):
     return graph.matched(v.v_true, v.v_pole, C110).select("a", "b", F.round("d", 4).alias("d"))
 
 
-def _merge_ways(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values(["way", "nid"])
-    ways = {w: list(x) for w, x in f.groupby("way").node}
+def _merge_ways(_, rows: list[tuple]) -> list[tuple]:
+    ways: dict = {}
+    for w, _nid, node in rows:
+        ways.setdefault(w, []).append(node)
     ends: dict = {}
     for w, nodes in ways.items():
         for n in {nodes[0], nodes[-1]}:
             ends.setdefault(n, set()).add(w)
-    seen = f.node.value_counts()
+    seen = Counter(node for _, _, node in rows)
     out = graph.merged_chains(ways, {n: s for n, s in ends.items() if len(s) == 2 and seen[n] == 2})
-    return pd.DataFrame([(w, len(x), int(x[0]), int(x[-1])) for w, x in out.items()], columns=["way", "vertices", "first", "last"])
+    return [(w, len(x), int(x[0]), int(x[-1])) for w, x in out.items()]
 
 
 @query()
@@ -67,21 +70,21 @@ def g05_chain_merge(v):
     p, q = end.alias("p"), end.alias("q")
     edges = p.join(q, (F.col("p.node") == F.col("q.node")) & (F.col("p.way") < F.col("q.way"))).select(F.col("p.way").alias("a"), F.col("q.way").alias("b"))
     root = graph.components(edges).toDF("way", "root")
-    return w.join(root, "way", "left").withColumn("root", F.coalesce("root", "way")).groupBy("root").applyInPandas(_merge_ways, "way long, vertices int, first long, last long")
+    rows = w.join(root, "way", "left").select(F.coalesce("root", "way").alias("root"), "way", "nid", "node")
+    return graph.by_group(rows, "root", _merge_ways, "way long, vertices int, first long, last long")
 
 
-def _snap(f: pd.DataFrame) -> pd.DataFrame:
-    nodes = [(int(k), x) for k, x in f[f.kind == 0].sort_values(["length", "id"])[["id", "length"]].itertuples(index=False)]
-    poles = [(int(k), x) for k, x in f[f.kind == 1].sort_values(["length", "id"])[["id", "length"]].itertuples(index=False)]
-    return pd.DataFrame([(int(f.way.iloc[0]), a, b) for a, b in graph.snapped(nodes, poles)], columns=["way", "node", "pole"])
+def _snap(way: int, rows: list[tuple]) -> list[tuple]:
+    of = lambda k: [(i, at) for kind, at, i in rows if kind == k]
+    return [(way, a, b) for a, b in graph.snapped(of(0), of(1))]
 
 
 @query()
 def w07_snap(v):
     from .joins import marks
 
-    m = marks(v).where("kind < 2").select("way", F.col("kind").cast("int").alias("kind"), "id", "length")
-    return m.groupBy("way").applyInPandas(_snap, "way long, node long, pole long")
+    m = marks(v).where("kind < 2").select("way", F.col("kind").cast("int").alias("kind"), "length", "id")
+    return graph.by_group(m, "way", _snap, "way long, node long, pole long")
 
 
 def _search(f: pd.DataFrame) -> pd.DataFrame:
@@ -115,27 +118,14 @@ def g12_degree(v):
     return graph.neighbours(links(v)).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
 
 
-def _chains(f: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([(p[0], p[-1], p) for p in graph.chains(zip(f.a, f.b, strict=True))], columns=["first", "last", "path"])
-
-
 @query()
 def g13_chains(v):
-    return by_root(links(v)).groupBy("root").applyInPandas(_chains, "first long, last long, path array<long>")
+    return graph.all_chains(links(v))
 
 
-@query("SELECT l_orderkey AS way, i::INT AS i, j::INT AS j, list_aggregate(list_slice(nodes, i, j), 'sum')::BIGINT AS total FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nodes FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1), LATERAL (SELECT unnest(range(1, len(nodes))) AS i), LATERAL (SELECT unnest(range(i + 1, len(nodes) + 1)) AS j)")
+@query("SELECT l_orderkey AS way, i::INT AS i, j::INT AS j, list_aggregate(list_slice(nodes, i, j), 'sum')::BIGINT AS total FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nodes FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(1, len(nodes))) AS i), LATERAL (SELECT unnest(range(i + 1, len(nodes) + 1)) AS j)")
 def g14_subpaths(v):
-    return _subpaths(v.lineitem.where("l_orderkey % 20 = 0"))
-
-
-@query()
-def g14_subpaths_all(v):
-    """g14 on all roads; its SQL names each twentieth."""
-    return _subpaths(v.lineitem)
-
-
-def _subpaths(lines):
+    lines = v.lineitem
     n = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))), lambda x: x["l_partkey"])
     p = lines.groupBy(F.col("l_orderkey").alias("way")).agg(n.alias("p")).where(F.size("p") > 1)
     p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 1))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("p"))))
@@ -157,13 +147,9 @@ def g15_pardon(v):
     return by_root(e).withColumn("kind", kind).groupBy("root").applyInPandas(_pardon, "root long, fp int, fn int, pardoned int, regained int, missed int")
 
 
-def _tree(f: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([(a, b, w) for w, a, b in graph.spanning_tree(zip(f.d, f.a, f.b, strict=True))], columns=["a", "b", "d"])
-
-
 @query()
 def g16_mst(v):
-    return by_root(links(v, 60.0)).groupBy("root").applyInPandas(_tree, "a long, b long, d double").select("a", "b", F.round("d", 4).alias("d"))
+    return graph.spanning_forest(links(v, 60.0)).select("a", "b", F.round("d", 4).alias("d"))
 
 
 @query()
@@ -180,7 +166,9 @@ def a14_pole_metrics(v):
     return out.select("truth", "detected", "inserted", r6(F.coalesce(F.try_divide(hit, F.col("truth")), F.lit(1.0)), "recall"), r6(F.try_divide(hit, F.col("detected") + F.col("inserted")), "precision"))
 
 
-@query()
+@query("""WITH s AS (SELECT way, nid, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM v_way WINDOW w AS (PARTITION BY way ORDER BY nid))
+SELECT way, CASE WHEN nid > 0 THEN nid + 1 ELSE nid END AS nid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM s
+UNION ALL SELECT way, 1, round((lat + lat2) / 2, 6), round((lon + lon2) / 2, 6) FROM s WHERE nid = 0 AND lat2 IS NOT NULL""")
 def g08_new_vertex(v):
     """A vertex put into each way after its first: later places shift by one."""
     w = v.v_way.select("way", "nid", "lat", "lon")

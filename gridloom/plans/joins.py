@@ -25,7 +25,7 @@ JOIN (SELECT *, {x} AS x, {y} AS y FROM {right}) b ON a.x = b.x AND a.y = b.y WH
 
 @query(f"SELECT p.id, coalesce(min(t.area), -1) AS area FROM v_true p LEFT JOIN v_area t ON {_IN} GROUP BY p.id")
 def j01_locate(v):
-    return g.locate(v.v_true, v.areas()).select("id", "area")
+    return g.locate(v.v_true, v.areas(), C110).select("id", "area")
 
 
 @query("SELECT event_id, printf('SC%08dNH.jpg', event_id) AS path, user_id FROM events WHERE event_type = 'click' OR event_id % 2 = 0")
@@ -117,22 +117,12 @@ def j15_bridge(v):
     return v.part.select(F.col("p_partkey").alias("id")).join(v.v_line, F.col("sv_id") % 2000 == F.col("id")).groupBy("id").agg(F.countDistinct("sv_id").alias("views"), F.count("*").alias("lines"))
 
 
-_ON_WAY = "SELECT DISTINCT l_orderkey AS way, l_partkey AS id FROM lineitem WHERE l_orderkey % 10 = 0"
+_ON_WAY = "SELECT DISTINCT l_orderkey AS way, l_partkey AS id FROM lineitem"
 
 
 @query(f"SELECT a.id AS a, b.id AS b, min(a.way) AS way FROM ({_ON_WAY}) a JOIN ({_ON_WAY}) b ON a.way = b.way AND a.id < b.id GROUP BY a.id, b.id")
 def j18_same_road(v):
-    return _same_road(v.lineitem.where("l_orderkey % 10 = 0"))
-
-
-@query()
-def j18_same_road_all(v):
-    """j18 on all roads; its SQL names each tenth."""
-    return _same_road(v.lineitem)
-
-
-def _same_road(lines):
-    on = lines.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("id")).distinct()
+    on = v.lineitem.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("id")).distinct()
     a, b = on.alias("a"), on.alias("b")
     return a.join(b, (F.col("a.way") == F.col("b.way")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.min("a.way").alias("way"))
 
@@ -177,7 +167,7 @@ def j21_edge_coords(v):
 @query(f"""WITH l AS (SELECT p.id, p.lat, p.lon, coalesce(min(t.area), -1) AS area FROM v_ins p LEFT JOIN v_area t ON {_IN} GROUP BY p.id, p.lat, p.lon)
 SELECT id, near FROM (SELECT a.id, b.area AS near, row_number() OVER (PARTITION BY a.id ORDER BY {sql_distance()}, b.id) AS k FROM l a, l b WHERE a.area = -1 AND b.area >= 0) WHERE k = 1""")
 def j23_nearest_tract(v):
-    placed = g.locate(v.v_ins, v.areas())
+    placed = g.locate(v.v_ins, v.areas(), C110)
     near = g.nearest_of(placed.where("area < 0"), placed.where("area >= 0"), C110)
     return near.select(F.col("a.id").alias("id"), F.col("b.area").alias("near"))
 
@@ -185,7 +175,7 @@ def j23_nearest_tract(v):
 @query(f"""WITH l AS (SELECT p.id, coalesce(min(t.area), -1) AS area FROM v_pole p LEFT JOIN v_area t ON {_IN} GROUP BY p.id)
 SELECT x.area, count(*) AS pairs FROM ({_near_sql('v_pole', 'v_pole', 100.0, 'a.id < b.id')}) e JOIN l x ON e.a = x.id JOIN l y ON e.b = y.id WHERE x.area = y.area GROUP BY x.area""")
 def j24_same_tract_edges(v):
-    at = g.locate(v.v_pole, v.areas()).select("id", "area")
+    at = g.locate(v.v_pole, v.areas(), C110).select("id", "area")
     e = g.near_join(v.v_pole, v.v_pole, C110, 100.0).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     both = e.join(at.toDF("a", "area"), "a").join(at.toDF("b", "area_b"), "b").where("area = area_b")
     return both.groupBy("area").agg(F.count("*").alias("pairs"))

@@ -45,15 +45,15 @@ _IN = "p.lat >= t.lo_lat AND p.lat <= t.hi_lat AND p.lon >= t.lo_lon AND p.lon <
 
 @query(f"SELECT t.area, count(*) AS n FROM v_pole p JOIN v_area t ON {_IN} GROUP BY t.area")
 def p04_pip(v):
-    p = v.v_pole.crossJoin(F.broadcast(v.areas().where("area < 25")))  # nations: 25 rows
-    return p.where(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).groupBy("area").agg(F.count("*").alias("n"))
+    p = v.v_pole
+    return p.join(g.holding(p, v.areas(), C110), ["lat", "lon"]).groupBy("area").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT DISTINCT w.way FROM v_way w JOIN v_area t ON t.area % 2 = 0 AND {_IN.replace('p.', 'w.')}")
 def p05_poly_semi(v):
     ways = v.v_way
     spots = ways.select("lat", "lon").distinct()
-    hit = g.locate(spots, v.areas().where("area % 2 = 0")).where("area >= 0")
+    hit = g.locate(spots, v.areas().where("area % 2 = 0"), C110).where("area >= 0")
     return ways.join(hit, ["lat", "lon"], "left_semi").select("way").distinct()
 
 
@@ -72,7 +72,7 @@ def p07_class_filter(v):
 @query(f"SELECT p.id, min(t.area) AS area FROM v_true p JOIN v_area t ON {_IN} WHERE p.lat BETWEEN 37.005 AND 37.030 AND p.lon BETWEEN -121.990 AND -121.960 GROUP BY p.id")
 def p08_building_filter(v):
     box = v.v_true.where(F.col("lat").between(37.005, 37.030) & F.col("lon").between(-121.990, -121.960))
-    return g.locate(box, v.areas()).where("area >= 0").select("id", "area")
+    return g.locate(box, v.areas(), C110).where("area >= 0").select("id", "area")
 
 
 @query("SELECT vec_id, label >= 5 AS positive, round(sum(CASE WHEN label >= 5 THEN v ELSE 0 END), 4) AS heat FROM v_cam GROUP BY vec_id, label")
@@ -194,21 +194,11 @@ def p28_regularize(v):
     return v.embeddings.select("vec_id", F.aggregate(levels, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("votes"))
 
 
-@query(f"SELECT a.id, round({sql_distance('a', 'b')}, 4) AS d1, round({sql_distance('a', 'b', 6378137.0)}, 4) AS d2 FROM v_pole a JOIN v_ins b ON a.id % 100 = b.id % 100 AND b.id <= 100")
+@query(f"SELECT a.id, round({sql_distance('a', 'b')}, 4) AS d1, round({sql_distance('a', 'b', 6378137.0)}, 4) AS d2 FROM v_pole a JOIN v_ins b ON a.id // 20 = b.id")
 def p29_distance(v):
-    return _two_distances(v.v_pole, v.v_ins.where("id <= 100"), lambda a, b: a % 100 == b % 100)
-
-
-@query()
-def p29_distance_all(v):
-    """p29 with a partner for every row: its SQL names the first hundred of v_ins. Ids begin at 0, 20 poles to an inserted one."""
-    return _two_distances(v.v_pole, v.v_ins, lambda a, b: F.floor(a / 20) == b)
-
-
-def _two_distances(a, b, on):
-    a, b = a.alias("a"), b.alias("b")
+    a, b = v.v_pole.alias("a"), v.v_ins.alias("b")
     c = [F.col(x) for x in ("a.lat", "a.lon", "b.lat", "b.lon")]
-    return a.join(b, on(F.col("a.id"), F.col("b.id"))).select("a.id", F.round(geo.distance(*c), 4).alias("d1"), F.round(geo.distance(*c, geo.EARTH_RAYS), 4).alias("d2"))
+    return a.join(b, F.floor(F.col("a.id") / 20) == F.col("b.id")).select("a.id", F.round(geo.distance(*c), 4).alias("d1"), F.round(geo.distance(*c, geo.EARTH_RAYS), 4).alias("d2"))
 
 
 @query(f"SELECT way, round(sum(len), 3) AS total, round(max(len), 4) AS longest FROM ({_LEN}) GROUP BY way")

@@ -89,9 +89,47 @@ def test_first_fit():
 
 
 def test_insertions(spark):
-    df = spark.createDataFrame([(0.0, 100.0, 100.0), (0.0, 400.0, 400.0), (0.0, 60.0, 60.0)], "a double, b double, d double")
-    assert [r.cuts for r in linear.insertions(df).collect()] == [[50.0], [], []]
-
+    """A straight road of 300 m; a road there and back, whose poles stand 80 m apart and 200 m by road."""
+    m = 1 / 111_300.0  # degrees of latitude
+    segments = linear.measured(spark.createDataFrame([(1, 0, 0.0, 0.0, 300 * m, 0.0), (2, 0, 0.0, 0.0, 100 * m, 0.0), (2, 1, 100 * m, 0.0, 0.0, 0.0001)], "way long, lid int, lat1 double, lon1 double, lat2 double, lon2 double"))
+    gaps = spark.createDataFrame(
+        [(1, 1, 0.0, 100.0, (0.0, 0.0), (100 * m, 0.0)), (1, 2, 100.0, 160.0, (100 * m, 0.0), (160 * m, 0.0)), (1, 3, 0.0, 300.0, (0.0, 0.0), (300 * m, 0.0)), (1, 4, 0.0, 100.0, (-50 * m, 0.0), (100 * m, 0.0)), (1, 5, 0.0, 290.0, (-500 * m, 0.0), (290 * m, 0.0)), (2, 6, 10.0, 190.0, (10 * m, 0.0), (10 * m, 0.0001)), (2, 7, 0.0, 120.0, (0.0, 0.0), (80 * m, 0.0))],
+        "way long, id long, a double, b double, p struct<lat:double,lon:double>, q struct<lat:double,lon:double>",
+    )
+    got = {}
+    for r in linear.insertions(gaps, segments).orderBy("id", "k").collect():
+        got.setdefault(r.id, []).append(round(r.at, 6))
+    assert got == {1: [50.0], 3: [60.0, 120.0, 180.0, 240.0], 7: [60.0]}
+
+
+def test_graph_steps_as_tables(spark):
+    """Chains, spanning forests and grouped kernels of whole tables against the kernels on lists."""
+    rng = random.Random(1)
+    for n, m in ((40, 36), (12, 40)):
+        e = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}) + [(100, 101), (101, 102), (102, 100), (200, 201), (201, 202), (202, 203), (203, 200), (203, 204)]
+        rows = [(a, b, float(rng.randint(1, 4))) for a, b in e]
+        df = spark.createDataFrame(rows, "a long, b long, d double")
+        assert sorted(tuple(r.path) for r in graph.all_chains(df).collect()) == sorted(map(tuple, graph.chains(e)))
+        assert sorted((r.d, r.a, r.b) for r in graph.spanning_forest(df).collect()) == sorted(graph.spanning_tree((d, a, b) for a, b, d in rows))
+    empty = df.limit(0)
+    assert graph.all_chains(empty).count() == 0 and graph.spanning_forest(empty).count() == 0
+    out = graph.by_group(df, "a", lambda k, rows: [(k, len(rows))], "a long, n int").collect()
+    assert sum(r.n for r in out) == len(e)
+
+
+def test_locate_and_nearest(spark):
+    ring = lambda s, w, n, e: [(s, w), (s, e), (n, e), (n, w)]
+    schema = "area int, ring array<struct<lat:double,lon:double>>"
+    areas = spark.createDataFrame([(5, ring(37.0, -122.0, 37.1, -121.9)), (3, ring(37.02, -121.98, 37.0201, -121.9799)), (9, ring(36.0, -130.0, 38.0, -110.0)), (1, None), (2, [])], schema)
+    spots = spark.createDataFrame([(1, 37.05, -121.95), (2, 37.02005, -121.97995), (3, 36.5, -120.0), (4, 39.0, 0.0), (5, None, 1.0), (6, None, None), (7, 37.05, -121.95), (7, 37.05, -121.95)], "id long, lat double, lon double")
+    got = sorted((r.id, r.area) for r in g.locate(spots, areas, views.CELLS_110).collect())
+    assert got == [(1, 5), (2, 3), (3, 9), (4, -1), (5, -1), (6, -1), (7, 5), (7, 5)]
+    plan = g.locate(spots, areas, views.CELLS_110)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    others = spots.where("id in (1, 5, 3)")
+    near = {(r.a.id, r.b.id) for r in g.nearest_of(spots, others, views.CELLS_110).collect()}
+    assert near == {(1, 1), (2, 1), (3, 3), (4, 3), (7, 1)}
+    assert g.nearest_of(spots, others.where("lat is null"), views.CELLS_110).count() == 0
 
 def test_slots(spark):
     p = spark.createDataFrame([(1, 0.0), (1, 10.0)], "way int, length double")

@@ -1,14 +1,13 @@
-"""Queries over whole tables, against the engine's kernels or SQL without the cut of a registered query's SQL."""
+"""Queries over whole tables, against the engine's kernels."""
 
 import numpy as np
-import pytest
 
 import __spark_entry__
 from gridloom.operators import cam
-from tests.compare import connect, rows
+from tests.compare import connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES = __spark_entry__.queries()
 
 
 def test_hough_lines_of_all_images(spark):
@@ -17,23 +16,3 @@ def test_hough_lines_of_all_images(spark):
         want += [(k, i, *x) for i, x in enumerate(cam.image_lines(np.asarray(e, float).reshape(-1, 8) * 300.0, 20))]
     got = [tuple(r) for r in QUERIES["x01_hough_lines"](spark, FOLDER).collect()]
     assert sorted(got) == sorted(want) and max(r[0] for r in got) >= 100
-
-
-@pytest.mark.parametrize(("name", "of", "cut"), [("a06_hough_votes_all", "a06_hough_votes", " AND vec_id < 100"), ("a07_hough_peak_all", "a07_hough_peak", " AND vec_id < 100"), ("j18_same_road_all", "j18_same_road", " WHERE l_orderkey % 10 = 0"), ("g14_subpaths_all", "g14_subpaths", " WHERE l_orderkey % 20 = 0")])
-def test_without_cut(spark, name, of, cut):
-    df = QUERIES[name](spark, FOLDER)
-    assert cut in ORACLES[of]
-    got = connect(FOLDER).execute(ORACLES[of].replace(cut, ""))
-    names = [d[0] for d in got.description]
-    assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
-
-
-def test_distance_pairs_all(spark):
-    got = QUERIES["p29_distance_all"](spark, "/root/testdata/sf0.01")
-    con = connect("/root/testdata/sf0.01")
-    sql = ORACLES["p29_distance"].replace("a.id % 100 = b.id % 100 AND b.id <= 100", "a.id // 20 = b.id")
-    assert sql != ORACLES["p29_distance"]
-    assert got.count() == con.execute("SELECT count(*) FROM part").fetchone()[0]
-    r = con.execute(sql)
-    names = [d[0] for d in r.description]
-    assert rows(got.columns, got.collect()) == rows(names, r.fetchall())
