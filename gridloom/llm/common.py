@@ -49,10 +49,19 @@ def shared_folder(spark: SparkSession) -> str:
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
+#: The setting by which Spark deletes a query's shuffle files once the query has ended, not when the driver's collector comes by.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: cuts the lineage and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    """`df` as a Parquet table in the shared folder, read back: cuts the lineage and outlives lost executors. The query's shuffle files go with its end."""
+    conf, path = df.sparkSession.conf, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     _TABLES.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
