@@ -19,7 +19,7 @@ from .parts import Grown, PartTable
 from .shingles import Hasher
 
 #: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
-TABLE_PARTS = 1_500_000
+TABLE_PARTS = 1_000_000
 #: Fixed value: the first split of byte-level files that use their built-in pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
