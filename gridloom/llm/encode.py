@@ -20,6 +20,8 @@ from .shingles import Hasher
 
 #: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
 TABLE_PARTS = 1_000_000
+#: Parts that the library gets in one call, where a word can stand between them.
+JOINED = 256
 #: Fixed value: the first split of byte-level files that use their built-in pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -44,6 +46,7 @@ class Encoder:
         self.hasher = Hasher(fold=False, lead=kind == "bytes")
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.quick = self._byte_pairs(path)
+        self.mark = self._mark() if kind == "words" else None
         self.parts = PartTable(self.hasher)
         self._empty()
 
@@ -70,17 +73,47 @@ class Encoder:
         ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if i < 256 + len(merges)}
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _ask(self, parts: list[str]) -> list[list[int]]:
+    def _mark(self) -> tuple[bytes, int] | None:
+        """A word of ASCII letters that is one id, and that id; of the newest such ids, as texts seldom have them."""
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        newest = sorted(self.library.get_vocab(with_added_tokens=False).items(), key=lambda x: -x[1])
+        for piece, i in newest:
+            word = piece.removesuffix(suffix)
+            if piece.endswith(suffix) and word.isascii() and word.isalpha() and word.islower() and self.library.encode(f"{word} {word}", add_special_tokens=False).ids == [i, i]:
+                return word.encode(), i
+        return None
+
+    def _single(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [x.decode("utf-8", "replace") for x in parts]
         if self.quick is None:
-            return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        return [self.library.encode(x, add_special_tokens=False).ids if any(s in x for s in self.special) else self.quick.encode_ordinary(x) for x in parts]
+            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            ids = [self.library.encode(x, add_special_tokens=False).ids if any(s in x for s in self.special) else self.quick.encode_ordinary(x) for x in texts]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())), count
+
+    def _ask(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and how many each has. Parts with the mark's id in them are asked for one by one."""
+        if self.mark is None:
+            return self._single(parts)
+        word, mark = self.mark
+        groups = [parts[k : k + JOINED] for k in range(0, len(parts), JOINED)]
+        texts = [(b" " + word + b" ").join(g).decode("utf-8", "replace") for g in groups]
+        found = []
+        for group, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == mark)
+            if len(at) == len(group) - 1:
+                found.append((np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1))
+            else:
+                found.append(self._single(group))
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
     def _learn(self, parts: list[bytes]) -> None:
-        ids = self._ask([x.decode("utf-8", "replace") for x in parts])
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, count = self._ask(parts)
         self.first.add(self.pool.n + np.cumsum(count) - count)
         self.count.add(count)
-        self.pool.add(np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())))
+        self.pool.add(ids)
 
     def _block(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts of a block."""
