@@ -20,6 +20,8 @@ from .shingles import Hasher
 
 #: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
 TABLE_PARTS = 1_000_000
+#: Bytes of text looked up together: a worker holds some 60 times as much meanwhile.
+BLOCK = 1 << 20
 #: Parts that the library gets in one call, where a word can stand between them.
 JOINED = 256
 #: Fixed value: the first split of byte-level files that use their built-in pattern.
@@ -43,7 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.kind = Tokenizer.from_file(path), kind
-        self.hasher = Hasher(fold=False, lead=kind == "bytes")
+        self.hasher = Hasher(fold=False, lead=kind == "bytes", block=BLOCK)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.quick = self._byte_pairs(path)
         self.mark = self._mark() if kind == "words" else None

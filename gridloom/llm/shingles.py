@@ -49,10 +49,10 @@ def equal_words(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size
 
 
 class Hasher:
-    """Holds the tables of a task. fold: A-Z count as a-z; lead: the white space before a word is part of it, and so is any at the end of a text."""
+    """Holds the tables of a task. fold: A-Z count as a-z; lead: the white space before a word is part of it, and so is any at the end of a text; block: bytes hashed together, BLOCK at most."""
 
-    def __init__(self, fold: bool = True, lead: bool = False) -> None:
-        self.lead = lead
+    def __init__(self, fold: bool = True, lead: bool = False, block: int = BLOCK) -> None:
+        self.lead, self.block = lead, block
         self.same = np.arange(256, dtype=np.uint8)
         if fold:
             self.same[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
@@ -114,11 +114,11 @@ class Hasher:
         buffers = column.buffers()
         offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
-        at = 0
+        at, block = 0, min(self.block, BLOCK)
         while at < len(column):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1)
             part = data[offsets[at] : offsets[to]]
-            if len(part) > 2 * BLOCK:
+            if len(part) > 2 * block:
                 pieces = list(self._pieces(part))
                 for k, x in enumerate(pieces):
                     yield x, np.array([len(x)]), int(k + 1 < len(pieces))
@@ -141,9 +141,9 @@ class Hasher:
                 yield from parts
 
     def _pieces(self, text: np.ndarray) -> Iterator[np.ndarray]:
-        at = 0
+        at, block = 0, min(self.block, BLOCK)
         while at < len(text):
-            to = min(len(text), at + BLOCK)
+            to = min(len(text), at + block)
             while to < len(text):
                 edge = np.flatnonzero(self.edges(text[to - 3 : to + 4096])[4:])
                 if len(edge):
