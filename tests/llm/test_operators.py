@@ -75,6 +75,19 @@ def test_encoder(path, odd, name, kind):
             assert e.library.encode(t or "", add_special_tokens=False).ids == ids.tolist(), repr(t)
 
 
+def test_texts_with_the_mark(path, monkeypatch):
+    """Texts that hold the word which stands between parts have the library's ids, as have others asked for with them."""
+    monkeypatch.setattr("gridloom.llm.encode.JOINED", 5)
+    e = Encoder(path("word_bpe_49k.json"), "words")
+    word = e.mark[0].decode()
+    rng = random.Random(5)
+    parts = [word, word.upper(), f"{word}!", f"x{word}", f"!{word}", f"<|endoftext|>{word}", "\u0301a", "\xa0", "a", "one", "!?", "\u65e5\u672c", "x" * 3000]
+    texts = [" ".join([*rng.choices(parts, k=rng.randint(1, 12)), str(i)]) for i in range(300)]
+    for t, ids in zip(texts, e.ids(pa.array(texts)), strict=True):
+        assert e.library.encode(t, add_special_tokens=False).ids == ids.tolist(), repr(t)[:80]
+    assert e.mark[1] in {i for x in e.ids(pa.array(texts)) for i in x.tolist()}
+
+
 def test_words_of_one_hash(path, odd, monkeypatch):
     """Tables tell words by their bytes: nothing changes where nearly all words share a hash."""
     from gridloom.llm import shingles
