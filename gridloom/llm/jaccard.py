@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, in_parts, written
 from .components import components
 from .shingles import Hasher, lists, mixed
 
@@ -73,7 +73,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
-    for batch in batches:
+    for batch in in_parts(batches):
         sizes, ids, ext, bits = [], [], [], []
         for s in hasher.sets(batch.column("text"), k):
             n = len(s)
@@ -88,7 +88,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterat
 def _full(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Sets of the documents of candidate pairs, and their prefixes under orders 2 and 3."""
     hasher = Hasher()
-    for batch in batches:
+    for batch in in_parts(batches):
         sets = list(hasher.sets(batch.column("text"), k))
         ids = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
         first: tuple[list, list] = ([], [])
@@ -100,7 +100,7 @@ def _full(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[p
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         keep = []
         for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_parts
 from .encode import encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -59,7 +60,7 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.nd
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, kind: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tokens = encoder(path, kind)
-    for batch in batches:
+    for batch in in_parts(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
         for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.ids(batch.column("text")), strict=True):
             raw = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())

@@ -768,3 +768,14 @@ def test_pipeline_stages_of_empty_tables(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_workers_take_small_parts():
+    import pyarrow as pa
+
+    from gridloom.llm.common import in_parts
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500))})
+    parts = list(in_parts(iter([batch, batch.slice(0, 0), batch.slice(7, 3)])))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452, 3]
+    assert [x for p in parts for x in p.column("doc_id").to_pylist()] == [*range(2500), 7, 8, 9]
