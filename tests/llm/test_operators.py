@@ -363,6 +363,23 @@ def test_html_against_plain(spark):
             assert all(" ".join(x.split()) in got[i] for x in blocks), "copied passages stay in articles"
 
 
+def test_html_array_holds_whole_pages(spark):
+    """Teasers of other pages' articles are found, in one chunk and in many; a quotation in unmarked text stays, and so do asides with a text of their own."""
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    arts = [[word() for _ in range(30)] for _ in range(130)]
+    teaser = lambda i: " ".join(arts[(i * 7 + 3) % len(arts)][5:17])
+    rows = [(i, "http://h.example/", f"<article><p>{' '.join(a)}</p></article><aside>{teaser(i)}</aside>") for i, a in enumerate(arts)]
+    rows += [(200, "http://h.example/", f"<div>{' '.join(word() for _ in range(20))} {" ".join(arts[0][18:30])} end</div>")]
+    rows += [(300 + i, "http://o.example/", f"<article><p>{' '.join(a)}</p></article><aside>{' '.join(word() for _ in range(12))}</aside>") for i, a in enumerate(arts)]
+    for some, goes in ((rows[:-130], True), (rows[-130:], False)):
+        df = spark.createDataFrame(some, "page_id long, url string, html string")
+        for chunk in (pages.CHUNK_TOKENS, 300):
+            got = {r.page_id: r.text for r in pages.extract_pages(df, chunk_tokens=chunk).collect()}
+            want = {k: " ".join(re.sub("<[^>]*>", " ", re.sub("<aside>.*", "", h) if goes else h).split()) for k, _, h in some}
+            assert got == want
+
+
 def test_html_without_the_array(spark, monkeypatch):
     """What the array finds decides the text of most pages of hosts with boilerplate."""
     df = spark.createDataFrame(site(random.Random(23), 240), "page_id long, url string, html string")
