@@ -2,8 +2,8 @@
 
 Texts are cut where the file's own first split always cuts: before white space that follows a word. The ids
 of the parts are then the ids of the whole. Parts are found and hashed in numpy; each worker process asks a
-library only for parts that its table hasn't, byte for byte. A text in which such a cut could be unsure goes to the
-library whole.
+library only for parts that its table hasn't, byte for byte; those of common characters go to a quicker one with the same
+merges. A text in which such a cut could be unsure goes to the library whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 
 from .parts import Grown, PartTable
 from .shingles import Hasher
+from .wordmerges import WordMerges
 
 #: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
 TABLE_PARTS = 1_000_000
@@ -48,7 +49,7 @@ class Encoder:
         self.hasher = Hasher(fold=False, lead=kind == "bytes", block=BLOCK)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.quick = self._byte_pairs(path)
-        self.mark = self._mark() if kind == "words" else None
+        self.mark, self.merges = (self._mark(), WordMerges.of(path)) if kind == "words" else (None, None)
         self.parts = PartTable(self.hasher)
         self._empty()
 
@@ -112,7 +113,7 @@ class Encoder:
         return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
     def _learn(self, parts: list[bytes]) -> None:
-        ids, count = self._ask(parts)
+        ids, count = self.merges.ids(parts, self._ask) if self.merges else self._ask(parts)
         self.first.add(self.pool.n + np.cumsum(count) - count)
         self.count.add(count)
         self.pool.add(ids)

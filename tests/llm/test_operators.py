@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import htmlparse, jaccard, licenses, lines, nbest, packing, pages, quality, sketch, tokencount, tokenfiles
 from gridloom.llm.components import components
 from gridloom.llm.encode import Encoder
+from gridloom.llm.wordmerges import WordMerges
 from tests.llm.conftest import prose, twins
 
 DOCS = "doc_id long, text string"
@@ -88,6 +89,50 @@ def test_texts_with_the_mark(path, monkeypatch):
     assert e.mark[1] in {i for x in e.ids(pa.array(texts)) for i in x.tolist()}
 
 
+def test_common_words_without_the_library(path, monkeypatch):
+    """Words of ASCII, and of Latin-1's letters, have the library's ids and don't cost its time; all others are asked for."""
+    e = Encoder(path("word_bpe_49k.json"), "words")
+    asked = []
+    monkeypatch.setattr(e, "_ask", lambda parts, own=e._ask: asked.extend(parts) or own(parts))
+    rng = random.Random(31)
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<"]
+    pool = [*"abcdefghijklmnopqrstuvwxyz" * 3, *"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *letters, *signs, "the", "ing", "ción", "!!!", "***", "2024"]
+    common = [*letters, *signs, *("".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(3000)), *("".join(rng.choices(s, k=rng.randint(1, 40))) for s in ("abn", signs, "éè", "aà") for _ in range(200))]
+    common += ["y" * 100_000, "é" * 70_000, "=" * 100_000, "7" * 5000, *twins(2048)]
+    rare = ["don't", "DON'T", "'", "×", "÷", "a×b", "e\u0301", "É\u0301", "º", "µ", "ÿ\xa0Ÿ", "ſ", "İ", "ж", "日本", "<|endoftext|>", "a<|startoftext|>b", "<", "\x00", "\x7f", "\u2028"]
+    for texts, few in ((common, True), (rare, False), ([" ".join(rng.choices(common[:3000] + rare, k=9)) for _ in range(300)], False)):
+        asked.clear()
+        for t, ids in zip(texts, e.ids(pa.array(texts)), strict=True):
+            assert e.library.encode(t, add_special_tokens=False).ids == ids.tolist(), repr(t)[:60]
+        assert not asked if few else {x.decode() for x in asked} <= {p for x in rare for p in re.split(r"[ \t\n\x0b\x0c\r]+", x)}
+
+
+def test_word_merges_of_other_files(path, tmp_path):
+    """A file that would merge otherwise by bytes than by its pairs, or cuts or folds otherwise, is left to the library."""
+    import json
+
+    with open(path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    assert WordMerges.of(path("word_bpe_49k.json"))
+
+    def pair(file, a, b):
+        file["model"]["vocab"].setdefault(a + b, len(file["model"]["vocab"]) + 2)
+        file["model"]["merges"].append([a, b] if isinstance(file["model"]["merges"][0], list) else f"{a} {b}")
+
+    # `in` ranks first, so fr and in stand side by side, never fri and n; the second makes a symbol that there is
+    changes = (lambda f: pair(f, "fri", "n"), lambda f: pair(f, "t", "he</w>"), lambda f: f["normalizer"]["normalizers"].pop(), lambda f: f["model"].update(ignore_merges=True))
+    for k, change in enumerate(changes):
+        change(file := json.loads(text))
+        own = str(tmp_path / f"{k}.json")
+        with open(own, "w", encoding="utf-8") as f:
+            json.dump(file, f)
+        assert WordMerges.of(own) is None
+        e = Encoder(own, "words")
+        texts = ["frin frinx afrinb", "The tHe the", "ÉTÉ maxine"]
+        assert [x.tolist() for x in e.ids(pa.array(texts))] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_of_one_hash(path, odd, monkeypatch):
     """Tables tell words by their bytes: nothing changes where nearly all words share a hash."""
     from gridloom.llm import shingles
