@@ -19,8 +19,8 @@ from .parts import Grown, PartTable
 from .shingles import Hasher
 from .wordmerges import WordMerges
 
-#: Parts in a worker's table (about 60 bytes each); it starts anew beyond that.
-TABLE_PARTS = 1_000_000
+#: Parts in a worker's table (about 60 bytes each) by kind; it starts anew beyond that. Words are soon learnt again.
+TABLE_PARTS = {"bytes": 1_000_000, "words": 400_000}
 #: Bytes of text looked up together: a worker holds some 60 times as much meanwhile.
 BLOCK = 1 << 20
 #: Parts that the library gets in one call, where a word can stand between them.
@@ -120,7 +120,7 @@ class Encoder:
 
     def _block(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts of a block."""
-        if len(self.parts) > TABLE_PARTS:
+        if len(self.parts) > TABLE_PARTS[self.kind]:
             self._empty()
         starts, row = self.parts.rows(data, cuts, self._learn)
         count = self.count.values[row].astype(np.int64)

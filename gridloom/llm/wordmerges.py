@@ -41,29 +41,32 @@ class _Alphabet:
 
         chars = byte_chars()
         symbols = {chars[b]: bytes([c]) for b, c in code.items()} | {chars[b] + suffix: bytes([code[b] | END]) for b in last}
-        self.pairs: dict[bytes, tuple[bytes, bytes]] = {}
+        pairs: dict[bytes, tuple[bytes, bytes]] = {}
         for a, b in merges:
             if a in symbols and b in symbols:
                 symbols[a + b] = made = symbols[a] + symbols[b]
-                if made in self.pairs:
+                if made in pairs:
                     raise ValueError("two merges make one symbol")
-                self.pairs[made] = symbols[a], symbols[b]
+                pairs[made] = symbols[a], symbols[b]
         single = [x for x in symbols.values() if len(x) == 1]
-        self.rank = {x: i for i, x in enumerate([*single, *self.pairs])}
+        rank = {x: i for i, x in enumerate([*single, *pairs])}
+        if not self._plain(pairs, rank):
+            raise ValueError("merges by bytes and by pairs could differ")
         of = {x: vocab[s] for s, x in symbols.items()}
-        self.id = np.array([of[x] for x in self.rank], np.uint32)
-        self.ends = np.array([x[-1] >= END for x in self.rank])
-        self.text = tiktoken.Encoding("own", pat_str=PIECE, mergeable_ranks=self.rank, special_tokens={})
+        self.id = np.array([of[x] for x in rank], np.uint32)
+        self.ends = np.array([x[-1] >= END for x in rank])
+        self.text = tiktoken.Encoding("own", pat_str=PIECE, mergeable_ranks=rank, special_tokens={})
 
-    def plain(self) -> bool:
+    @staticmethod
+    def _plain(pairs: dict[bytes, tuple[bytes, bytes]], rank: dict[bytes, int]) -> bool:
         """Whether each symbol, merged alone, comes from its own merge at last. Two symbols side by side that make one by their
         bytes are then always the file's pair: what is inside their span merges as it does alone."""
-        for made, pair in self.pairs.items():
+        for made, pair in pairs.items():
             x = [made[k : k + 1] for k in range(len(made))]
             while len(x) > 2:
-                ranks = [self.rank.get(a + b, len(self.rank)) for a, b in zip(x[:-1], x[1:], strict=True)]
+                ranks = [rank.get(a + b, len(rank)) for a, b in zip(x[:-1], x[1:], strict=True)]
                 k = ranks.index(least := min(ranks))
-                if least == len(self.rank):
+                if least == len(rank):
                     return False
                 x[k : k + 2] = [x[k] + x[k + 1]]
             if tuple(x) != pair:
@@ -108,10 +111,9 @@ class WordMerges:
             return None
         merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         try:
-            out = cls(model["vocab"], merges, suffix, special)
-        except (KeyError, ValueError):  # a byte without an id, or two merges that make one symbol
+            return cls(model["vocab"], merges, suffix, special)
+        except (KeyError, ValueError):  # a byte without an id, or merges that could differ
             return None
-        return out if all(x.plain() for x in out.alphabets.values()) else None
 
     def ids(self, parts: list[bytes], rest: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts (none empty, without white space) in a row, and how many each has. `rest` is asked for parts with other characters."""
